@@ -109,9 +109,13 @@ def mask_jobs(items: DataFrame) -> DataFrame:
     )
 
 
+def day_text():
+    return F.coalesce(F.col("date.date").cast("string"), F.lit(""))
+
+
 def flat(items: DataFrame) -> DataFrame:
-    """Items without the nested date."""
-    return items.withColumn("date_value", F.col("date.date")).drop("date")
+    """Items with the date as text, empty where there is none, in place of the nested one."""
+    return items.withColumn("date_value", day_text()).drop("date")
 
 
 # ---- sources and sinks -------------------------------------------------------------------------------
@@ -257,7 +261,7 @@ def _detector(name: str, kinds: list[str], columns: list[str]):
 
 
 _PLAIN = ["start", "end", "value", "type", "label", "score"]
-_DATE = ["start", "end", "value", "date.year AS year", "date.month AS month", "date.day AS day"]
+_DATE = ["start", "end", "value", "coalesce(date.year, 0) AS year", "date.month AS month", "coalesce(date.day, 0) AS day"]
 for _name, _kind in {
     "detect_date_ymd": "ymd",
     "detect_date_dmy": "dmy",
@@ -392,7 +396,7 @@ def _(spark, sf_dir):
 
 @query("date_value")
 def _(spark, sf_dir):
-    return corpus_dates(spark, sf_dir).select(*LINE, "start", "value", F.col("date.date").alias("date_value"))
+    return corpus_dates(spark, sf_dir).select(*LINE, "start", "value", day_text().alias("date_value"))
 
 
 @query("date_key")
