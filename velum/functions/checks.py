@@ -15,7 +15,12 @@ _TO = "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
 
 def ascii_digits(text: str) -> str:
     """Decimal digits of any script as 0–9; plain ASCII text, the usual case, is passed through."""
-    return f"IF({text} RLIKE '^[\\\\x00-\\\\x7F]*\\\\z', {text}, translate({text}, {quoted(_FROM)}, {quoted(_TO)}))"
+    return f"IF(octet_length({text}) = length({text}), {text}, translate({text}, {quoted(_FROM)}, {quoted(_TO)}))"
+
+
+def plain_digits(text: str) -> str:
+    """The digits of a text, as 0–9."""
+    return ascii_digits(digits_only(text))
 
 
 def digits_only(text: str) -> str:
@@ -32,19 +37,19 @@ def _digit(digits: str, i: int) -> str:
     return f"(ascii(substring({digits}, {i}, 1)) - 48)"
 
 
-def pesel_valid(number: str) -> str:
-    """11 digits whose last one completes the weighted sum of the others to a multiple of ten."""
+def pesel_check(n: str) -> str:
+    """On ASCII digits: 11 of them, the last one completing the weighted sum of the others to a multiple of ten."""
+    return f"IF({n} RLIKE '^[0-9]{{11}}\\\\z', ({_weighted(n, PESEL_WEIGHTS)} + {_digit(n, 11)}) % 10 = 0, false)"
 
-    def check(n):
-        return f"IF({n} RLIKE '^[0-9]{{11}}\\\\z', ({_weighted(n, PESEL_WEIGHTS)} + {_digit(n, 11)}) % 10 = 0, false)"
 
-    return let(ascii_digits(number), check)
+def nip_check(n: str) -> str:
+    """On ASCII digits: 10 of them, the last one being the weighted sum of the others modulo eleven."""
+    return f"IF({n} RLIKE '^[0-9]{{10}}\\\\z', ({_weighted(n, NIP_WEIGHTS)}) % 11 = {_digit(n, 10)}, false)"
 
 
-def nip_valid(number: str) -> str:
-    """10 digits whose last one is the weighted sum of the others modulo eleven."""
+def pesel_valid(number: str) -> str:
+    return let(ascii_digits(number), pesel_check, "boolean")
 
-    def check(n):
-        return f"IF({n} RLIKE '^[0-9]{{10}}\\\\z', ({_weighted(n, NIP_WEIGHTS)}) % 11 = {_digit(n, 10)}, false)"
 
-    return let(ascii_digits(number), check)
+def nip_valid(number: str) -> str:
+    return let(ascii_digits(number), nip_check, "boolean")

@@ -3,67 +3,58 @@
 from __future__ import annotations
 
 from velum.functions import patterns as P
-from velum.functions.checks import digits_only, nip_valid, pesel_valid
+from velum.functions.checks import nip_check, pesel_check
 from velum.functions.labels import clean_label
-from velum.functions.sqlx import contains_any, let, quoted
+from velum.functions.sqlx import contains_any, quoted
 
 
 def typed(kind: str, score) -> str:
     return f"named_struct('type', {quoted(kind)}, 'score', {score}D)"
 
 
-def classify_number(label_lower: str, token: str) -> str:
+def classify_number(low: str, token: str, digits: str) -> str:
     """Type and score of a number from its lower-cased label and its own shape; the first rule that holds wins."""
-
-    def rules(d: str) -> str:
-        n = f"length({d})"
-        has = lambda words: contains_any(label_lower, words)
-        return f"""CASE
-            WHEN {token} LIKE '%\\\\%' THEN {typed('procent', 0.8)}
-            WHEN contains({token}, '+') THEN {typed('telefon', 0.85)}
-            WHEN ({token} RLIKE '(?U)[.,]\\\\d{{2}}' OR contains({token}, 'zł')) AND {has(P.AMOUNT_LABELS)}
-                THEN {typed('kwota', 0.9)}
-            WHEN {n} = 11 AND contains({label_lower}, 'pesel') THEN {typed('PESEL', 0.98)}
-            WHEN {n} = 11 THEN IF({pesel_valid(d)}, {typed('PESEL', 0.85)}, {typed('numer', 0.35)})
-            WHEN {n} = 10 AND {has(['nip', 'podatk'])} THEN {typed('NIP', 0.97)}
-            WHEN {n} = 10 THEN IF({nip_valid(d)}, {typed('NIP', 0.85)}, {typed('numer', 0.35)})
-            WHEN {n} = 9 AND contains({label_lower}, 'regon') THEN {typed('REGON', 0.95)}
-            WHEN {n} = 26 THEN {typed('nr konta', 0.95)}
-            WHEN {n} = 13 AND contains({label_lower}, 'nip') THEN {typed('NIP', 0.95)}
-            WHEN {n} BETWEEN 9 AND 13 AND {has(P.PHONE_LABELS)} THEN {typed('telefon', 0.9)}
-            WHEN {has(P.NUMBER_LABELS)} THEN {typed('numer', 0.7)}
-            WHEN {token} RLIKE {quoted(P.WHOLE_AMOUNT)} THEN {typed('kwota?', 0.4)}
-            WHEN {n} BETWEEN 9 AND 13 AND {token} RLIKE {quoted(P.WHOLE_PHONE)} THEN {typed('telefon?', 0.45)}
-            ELSE {typed('numer', 0.4)} END"""
-
-    return let(digits_only(token), rules)
-
-
-def street_override(label_lower: str, found: str) -> str:
+    n = f"length({digits})"
+    has = lambda words: contains_any(low, words)
+    return f"""CASE
+        WHEN {token} LIKE '%\\\\%' THEN {typed('procent', 0.8)}
+        WHEN contains({token}, '+') THEN {typed('telefon', 0.85)}
+        WHEN ({token} RLIKE '(?U)[.,]\\\\d{{2}}' OR contains({token}, 'zł')) AND {has(P.AMOUNT_LABELS)}
+            THEN {typed('kwota', 0.9)}
+        WHEN {n} = 11 AND contains({low}, 'pesel') THEN {typed('PESEL', 0.98)}
+        WHEN {n} = 11 THEN IF({pesel_check(digits)}, {typed('PESEL', 0.85)}, {typed('numer', 0.35)})
+        WHEN {n} = 10 AND {has(['nip', 'podatk'])} THEN {typed('NIP', 0.97)}
+        WHEN {n} = 10 THEN IF({nip_check(digits)}, {typed('NIP', 0.85)}, {typed('numer', 0.35)})
+        WHEN {n} = 9 AND contains({low}, 'regon') THEN {typed('REGON', 0.95)}
+        WHEN {n} = 26 THEN {typed('nr konta', 0.95)}
+        WHEN {n} = 13 AND contains({low}, 'nip') THEN {typed('NIP', 0.95)}
+        WHEN {n} BETWEEN 9 AND 13 AND {has(P.PHONE_LABELS)} THEN {typed('telefon', 0.9)}
+        WHEN {has(P.NUMBER_LABELS)} THEN {typed('numer', 0.7)}
+        WHEN {token} RLIKE {quoted(P.WHOLE_AMOUNT)} THEN {typed('kwota?', 0.4)}
+        WHEN {n} BETWEEN 9 AND 13 AND {token} RLIKE {quoted(P.WHOLE_PHONE)} THEN {typed('telefon?', 0.45)}
+        ELSE {typed('numer', 0.4)} END"""
+
+
+def starts_with_street(low: str) -> str:
+    return "(" + " OR ".join(f"startswith({low}, {quoted(p)})" for p in P.STREET_PREFIXES) + ")"
+
+
+def street_override(low: str, found: str) -> str:
     """A plain number behind a street prefix is a house number."""
-    prefixes = " OR ".join(f"startswith({label_lower}, {quoted(p)})" for p in P.STREET_PREFIXES)
-    return f"IF({found}.type = 'numer' AND ({prefixes}), {typed('ulica nr', 0.25)}, {found})"
+    return f"IF({found}.type = 'numer' AND {starts_with_street(low)}, {typed('ulica nr', 0.25)}, {found})"
 
 
-def classify_name(left: str, name: str, label: str) -> str:
+def classify_name(left: str, left_low: str, name: str, label: str, low: str) -> str:
     """Type, label and score of a capitalised word or run of words."""
-
-    def rules(low: str) -> str:
-        named = lambda text: contains_any(text, P.NAME_LABELS)
-        row = lambda kind, lab, score: (
-            f"named_struct('type', {kind}, 'label', {lab}, 'score', {score}D)"
-        )
-        whole = f"contains({low}, 'imię') OR contains({low}, 'imie') OR NOT contains({low}, 'nazwisko')"
-        before = let(
-            clean_label(f"right(lower({left}), 40)"), lambda b: f"IF({b} = '', {label}, {b})"
-        )
-        return f"""CASE
-            WHEN {named(low)} THEN {row(f"IF({whole}, 'imię i nazwisko', 'nazwisko')", label, 0.9)}
-            WHEN {let(f"lower({left})", named)} THEN {row("'imię i nazwisko'", before, 0.8)}
-            WHEN {name} RLIKE '(?U)\\\\s' THEN {row("'imię i nazwisko'", label, 0.55)}
-            ELSE {row("'nazwa'", label, 0.3)} END"""
-
-    return let(f"lower({label})", rules)
+    named = lambda text: contains_any(text, P.NAME_LABELS)
+    row = lambda kind, lab, score: f"named_struct('type', {kind}, 'label', {lab}, 'score', {score}D)"
+    whole = f"contains({low}, 'imię') OR contains({low}, 'imie') OR NOT contains({low}, 'nazwisko')"
+    before = f"coalesce(nullif({clean_label(f'right({left_low}, 40)')}, ''), {label})"
+    return f"""CASE
+        WHEN {named(low)} THEN {row(f"IF({whole}, 'imię i nazwisko', 'nazwisko')", label, 0.9)}
+        WHEN {named(left_low)} THEN {row("'imię i nazwisko'", before, 0.8)}
+        WHEN {name} RLIKE '(?U)\\\\s' THEN {row("'imię i nazwisko'", label, 0.55)}
+        ELSE {row("'nazwa'", label, 0.3)} END"""
 
 
 def strong_name(name: str) -> str:
@@ -71,9 +62,9 @@ def strong_name(name: str) -> str:
     return f"length(regexp_replace({name}, '[^{P.CAPITALS}]', '')) >= 2"
 
 
-def postal_score(left: str, label: str) -> str:
-    context = f"lower(concat({label}, ' ', {left}))"
-    return let(context, lambda c: f"IF({contains_any(c, P.POSTAL_CONTEXT)}, 0.95D, 0.5D)")
+def postal_score(left_low: str, low: str) -> str:
+    """A postal code is certain only near words of an address."""
+    return f"IF({contains_any(low, P.POSTAL_CONTEXT)} OR {contains_any(left_low, P.POSTAL_CONTEXT)}, 0.95D, 0.5D)"
 
 
 def date_score(kind: str) -> str:
@@ -85,35 +76,37 @@ def capped_score(score: str, source: str) -> str:
     return f"IF({source} = 'ocr', least({score}, {P.OCR_SCORE_CAP}D), {score})"
 
 
-def classify_finding(kind: str, left: str, value: str, label: str) -> str:
-    """``struct<type, label, score>`` of an accepted span of any detector."""
+NUMBER_KINDS = "('money', 'symbol', 'percent', 'phone', 'number')"
+CONTEXT_KINDS = "('name', 'postal')"
 
-    def with_label(found: str) -> str:
-        return let(found, lambda f: f"named_struct('type', {f}.type, 'label', {label}, 'score', {f}.score)")
 
-    def fixed(name: str, score: str) -> str:
-        return f"named_struct('type', {quoted(name)}, 'label', {label}, 'score', {score})"
+def number_type(kind: str, low: str, value: str, digits: str) -> str:
+    """Type and score of amounts, symbols, percentages, phone numbers and other numbers; null for other detectors."""
+    symbol = f"IF({contains_any(low, P.SYMBOL_LABELS)}, {typed('numer', 0.75)}, {typed('symbol', 0.4)})"
+    general = classify_number(low, value, digits)
+    return f"CASE WHEN {kind} = 'symbol' THEN {symbol} WHEN {kind} IN {NUMBER_KINDS} THEN {general} END"
+
 
-    def number(low: str) -> str:
-        general = classify_number(low, value)
-        symbol = f"IF({contains_any(low, P.SYMBOL_LABELS)}, {typed('numer', 0.75)}, {typed('symbol', 0.4)})"
-        by_kind = f"CASE {kind} WHEN 'symbol' THEN {symbol} ELSE {general} END"
-        return let(by_kind, lambda f: street_override(low, f))
+def finding_type(kind: str, left: str, left_low: str, value: str, label: str, low: str, number: str) -> str:
+    """``struct<type, label, score>`` of an accepted span of any detector.
 
-    def money(low: str) -> str:
-        return let(
-            classify_number(low, value), lambda f: f"named_struct('type', 'kwota', 'score', greatest({f}.score, 0.7D))"
-        )
+    ``low`` and ``left_low`` are the label and the text to the left in lower case, ``number`` is what
+    :func:`number_type` gives.
+    """
+
+    def fixed(name: str, score: str) -> str:
+        return f"named_struct('type', {name}, 'label', {label}, 'score', {score})"
 
     return f"""CASE
-        WHEN {kind} = 'name' THEN {classify_name(left, value, label)}
-        WHEN {kind} IN ('ymd', 'dmy', 'd-month-y', 'month-y') THEN {fixed('data', date_score(kind))}
-        WHEN {kind} = 'account' THEN {fixed('nr konta', '0.95D')}
-        WHEN {kind} = 'pesel' THEN {fixed('PESEL', '0.95D')}
-        WHEN {kind} = 'nip' THEN {fixed('NIP', '0.95D')}
-        WHEN {kind} = 'postal' THEN {fixed('kod pocztowy', postal_score(left, label))}
-        WHEN {kind} = 'money' THEN {let(f'lower({label})', lambda low: with_label(money(low)))}
-        ELSE {let(f'lower({label})', lambda low: with_label(number(low)))} END"""
+        WHEN {kind} = 'name' THEN {classify_name(left, left_low, value, label, low)}
+        WHEN {kind} IN ('ymd', 'dmy', 'd-month-y', 'month-y') THEN {fixed("'data'", date_score(kind))}
+        WHEN {kind} = 'account' THEN {fixed("'nr konta'", '0.95D')}
+        WHEN {kind} = 'pesel' THEN {fixed("'PESEL'", '0.95D')}
+        WHEN {kind} = 'nip' THEN {fixed("'NIP'", '0.95D')}
+        WHEN {kind} = 'postal' THEN {fixed("'kod pocztowy'", postal_score(left_low, low))}
+        WHEN {kind} = 'money' THEN {fixed("'kwota'", f'greatest({number}.score, 0.7D)')}
+        WHEN {number}.type = 'numer' AND {starts_with_street(low)} THEN {fixed("'ulica nr'", '0.25D')}
+        ELSE {fixed(f'{number}.type', f'{number}.score')} END"""
 
 
 def type_group(kind: str) -> str:

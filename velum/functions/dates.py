@@ -40,13 +40,13 @@ def date_parts(kind: str, text: str) -> str:
         num = lambda i: _number(t, _NUMERIC, i)
         word = month_lookup(f"regexp_extract({t}, {_MONTH_WORD}, 1)")
         day, year = _number(t, _DAY_BEFORE_WORD, 1), _number(t, _YEAR_AFTER_WORD, 1)
-        full_year = let(num(3), lambda y: f"IF({y} < 100, 2000 + {y}, {y})")
+        full_year = let(num(3), lambda y: f"IF({y} < 100, 2000 + {y}, {y})", "int")
         return f"""CASE
             WHEN {kind} = 'ymd' THEN {parts(num(1), num(2), num(3))}
             WHEN {kind} = 'dmy' THEN {parts(full_year, num(2), num(1))}
             WHEN {kind} IN ('d-month-y', 'month-y') THEN {parts(year, word, day)} END"""
 
-    return let(ascii_digits(text), by_kind)
+    return let(ascii_digits(text), by_kind, "struct<year:int,month:int,day:int>")
 
 
 def plausible(kind: str, text: str) -> str:
@@ -59,7 +59,7 @@ def plausible(kind: str, text: str) -> str:
             return f"{_number(t, _DAY_BEFORE_WORD, 1)} BETWEEN 1 AND 31"
         return f"{month} AND {day} BETWEEN 1 AND 31"
 
-    return "true" if kind == "month-y" else let(ascii_digits(text), check)
+    return "true" if kind == "month-y" else let(ascii_digits(text), check, "boolean")
 
 
 def date_value(year: str, month: str, day: str) -> str:
@@ -76,6 +76,7 @@ def read_date(kind: str, text: str) -> str:
         date_parts(kind, text),
         lambda p: f"IF({p} IS NULL, NULL, named_struct('kind', {kind}, 'year', {p}.year, 'month', {p}.month, "
         f"'day', {p}.day, 'date', {date_value(f'{p}.year', f'{p}.month', f'{p}.day')}))",
+        DATE,
     )
 
 

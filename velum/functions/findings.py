@@ -6,16 +6,27 @@ to the left on the same row, and ``above``, the nearest short row above. Everyth
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from velum.functions import patterns as P
-from velum.functions.checks import digits_only, nip_valid, pesel_valid
-from velum.functions.classify import capped_score, classify_finding, strong_name
-from velum.functions.dates import plausible, read_date
-from velum.functions.labels import label_for
+from velum.functions.checks import digits_only, nip_valid, pesel_valid, plain_digits
+from velum.functions.classify import (
+    CONTEXT_KINDS,
+    NUMBER_KINDS,
+    capped_score,
+    finding_type,
+    number_type,
+    strong_name,
+)
+from velum.functions.dates import DATE, plausible, read_date
+from velum.functions.labels import chosen_label, label_for, nearest_piece
 from velum.functions.spans import (
     NONE,
     SPAN,
     claim_in_order,
     is_free,
+    joined,
     matches,
     pieces,
     positions,
@@ -44,6 +55,8 @@ PATTERNS = {
     "phone": P.PHONE,
     "number": P.NUMBER,
 }
+WORDS = "array<struct<s:int,e:int,x:int,w:string,colon:boolean>>"
+FINDING = f"struct<start:int,end:int,type:string,value:string,date:{DATE}>"
 MIN_NUMBER_DIGITS = 3
 MIN_NAME_CHARS = 3
 
@@ -110,6 +123,7 @@ def value_spans(text: str, row_left: str, above: str) -> str:
                 for kind in PATTERNS
             ]
         ),
+        SPAN,
     )
 
 
@@ -135,9 +149,9 @@ def name_words(text: str) -> str:
                 f"w -> NOT w.colon AND lower(w.w) NOT IN ({stop}))"
             )
 
-        return let(positions(cut, "name"), extended)
+        return let(positions(cut, "name"), extended, WORDS)
 
-    return let(pieces(text, P.WORD), words)
+    return let(pieces(text, P.WORD), words, WORDS)
 
 
 def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
@@ -147,7 +161,7 @@ def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
     runs of words and double-barrelled words are looked at.
     """
     surroundings = f"lower(concat_ws(' ', {text}, {row_left}, {above}))"
-    label_in_sight = let(surroundings, lambda near: contains_any(near, P.NAME_LABELS))
+    label_in_sight = let(surroundings, lambda near: contains_any(near, P.NAME_LABELS), "boolean")
     chosen = f"IF({is_free(taken, 'w.s', 'w.x')}, w.x, w.e)"
 
     def pick(explained: str) -> str:
@@ -159,10 +173,10 @@ def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
         long_enough = f"filter({settled}, w -> w.e - w.s >= {MIN_NAME_CHARS})"
         return (
             f"aggregate({long_enough}, named_struct('last', 0, 'out', {NONE}), "
-            f"(n, w) -> IF(w.s < n.last, n, named_struct('last', w.e, 'out', concat(n.out, array(w))))).out"
+            f"(n, w) -> IF(w.s < n.last, n, named_struct('last', w.e, 'out', {joined('n.out', 'array(w)')}))).out"
         )
 
-    return let(label_in_sight, pick)
+    return let(label_in_sight, pick, SPAN)
 
 
 def accepted_spans(line: str, row_left: str = "CAST(NULL AS STRING)", above: str = "CAST(NULL AS STRING)") -> str:
@@ -171,49 +185,81 @@ def accepted_spans(line: str, row_left: str = "CAST(NULL AS STRING)", above: str
     def both(text: str) -> str:
         return let(
             value_spans(text, row_left, above),
-            lambda taken: f"filter(concat({taken}, {name_spans(text, row_left, above, taken)}), f -> f.k <> 'groszy')",
+            lambda taken: f"filter({joined(taken, name_spans(text, row_left, above, taken))}, f -> f.k <> 'groszy')",
+            SPAN,
         )
 
-    return let(searchable(line), both)
+    return let(searchable(line), both, SPAN)
 
 
-def described(line: str, span: str, row_left: str, above: str, source: str) -> str:
-    """The finding at a span: position, type, value, label, score and date."""
+def described(line: str, span: str, row_left: str, above: str) -> str:
+    """A span's finding inside a lambda: position, type, value and date, without the label it is typed by."""
+    kind = f"{span}.k"
 
-    def with_label(left: str) -> str:
+    def typed(c: str) -> str:
+        number = number_type(kind, f"{c}.low", f"{c}.value", f"{c}.digits")
         return let(
-            f"named_struct('label', {label_for(left, row_left, above)}, 'value', {value_at(line, span)})",
-            lambda b: let(
-                classify_finding(f"{span}.k", left, f"{b}.value", f"{b}.label"),
-                lambda f: f"named_struct('start', {span}.s, 'end', {span}.e, 'type', {f}.type, 'value', {b}.value, "
-                f"'label', {f}.label, 'score', {capped_score(f'{f}.score', source)}, "
-                f"'date', {read_date(f'{span}.k', f'{b}.value')})",
+            number,
+            lambda n: let(
+                finding_type(kind, f"{c}.lft", f"{c}.left_low", f"{c}.value", f"{c}.label", f"{c}.low", n),
+                lambda f: f"named_struct('start', {span}.s, 'end', {span}.e, 'type', {f}.type, 'value', {c}.value, "
+                f"'date', {read_date(kind, f'{c}.value')})",
+                FINDING,
             ),
+            FINDING,
+        )
+
+    def context(b: str) -> str:
+        whole = (
+            f"named_struct('lft', {b}.lft, 'left_low', IF({kind} IN {CONTEXT_KINDS}, lower({b}.lft), NULL), "
+            f"'value', {b}.value, 'digits', {plain_digits(f'{b}.value')}, 'label', {b}.label, 'low', lower({b}.label))"
         )
+        return let(whole, typed, FINDING)
+
+    def labelled(left: str) -> str:
+        base = f"named_struct('lft', {left}, 'label', {label_for(left, row_left, above)}, 'value', {value_at(line, span)})"
+        return let(base, context, FINDING)
+
+    return let(f"substring({line}, 1, {span}.s)", labelled, FINDING)
 
-    return let(f"substring({line}, 1, {span}.s)", with_label)
 
+def findings(line: str, row_left: str, above: str) -> str:
+    """All findings of a line as one array, in no particular order, for work that stays inside the row.
 
-def findings(line: str, row_left: str, above: str, source: str) -> str:
-    """All findings of a line, in no particular order."""
+    Labels are not kept: a line's labels together can be far longer than the line.
+    """
     return let(
         accepted_spans(line, row_left, above),
-        lambda spans: f"filter(transform({spans}, s -> {described(line, 's', row_left, above, source)}), "
+        lambda spans: f"filter(transform({spans}, s -> {described(line, 's', row_left, above)}), "
         f"f -> f.type <> 'nazwa' OR {strong_name('f.value')})",
+        f"array<{FINDING}>",
     )
 
 
-__all__ = [
-    "PATTERNS",
-    "DATE_PATTERNS",
-    "SPAN",
-    "accepted_spans",
-    "candidates",
-    "date_spans",
-    "described",
-    "findings",
-    "kept_candidates",
-    "name_spans",
-    "name_words",
-    "value_spans",
-]
+def describe(spans: DataFrame, keep: str = "true") -> DataFrame:
+    """Rows with a span ``s``, its line's ``text`` and label candidates to rows with type, label, score and date.
+
+    The same rules as :func:`described`, but as columns: compiled, and one label in memory at a time. ``keep`` is a
+    condition on the finding ``x``. Findings leave through a one-element array: a filter on a type or label put on
+    the result is then applied to the finished finding, and the optimizer does not unfold all rules into it.
+    """
+    rest = [c for c in spans.columns if c not in ("text", "row_left", "above", "s")]
+    finding = (
+        f"named_struct('type', f.type, 'value', value, 'label', f.label, 'score', {capped_score('f.score', 'source')}, "
+        f"'date', {read_date('kind', 'value')})"
+    )
+    return (
+        spans.selectExpr(
+            *rest, "row_left", "above", "s.k AS kind", "s.s AS start", "s.e AS end",
+            "substring(text, 1, s.s) AS lft", f"{value_at('text', 's')} AS value",
+        )
+        .withColumn("near", F.expr(nearest_piece("lft")))
+        .withColumn("label", F.expr(chosen_label("near", "lft", "row_left", "above")))
+        .withColumn("low", F.lower("label"))
+        .withColumn("left_low", F.expr(f"IF(kind IN {CONTEXT_KINDS}, lower(lft), NULL)"))
+        .withColumn("digits", F.expr(f"IF(kind IN {NUMBER_KINDS}, {plain_digits('value')}, NULL)"))
+        .withColumn("number", F.expr(number_type("kind", "low", "value", "digits")))
+        .withColumn("f", F.expr(finding_type("kind", "lft", "left_low", "value", "label", "low", "number")))
+        .select(*rest, "kind", "start", "end", F.explode(F.expr(f"filter(array({finding}), x -> {keep})")).alias("x"))
+        .select(*rest, "kind", "start", "end", "x.*")
+    )

@@ -26,27 +26,29 @@ def nearest_piece(left: str) -> str:
     )
 
 
+def _whole(left: str) -> str:
+    cleaned = clean_label(left)
+    return f"IF(length({cleaned}) >= {MIN_LEFT_LABEL}, {cleaned}, NULL)"
+
+
+def left_label(near: str, left: str) -> str:
+    """:func:`label_left` for a nearest piece that is already at hand as ``near``."""
+    return f"IF(length({near}) >= {MIN_LEFT_LABEL}, {near}, {_whole(left)})"
+
+
+def chosen_label(near: str, left: str, row_left: str, above: str) -> str:
+    """:func:`label_for` for a nearest piece that is already at hand as ``near``."""
+    return f"coalesce({left_label(near, left)}, {row_left}, {above}, {near})"
+
+
 def label_left(left: str) -> str:
     """Label from the same line, or null when nothing of three characters stands to the left."""
-    return let(
-        nearest_piece(left),
-        lambda piece: f"CASE WHEN length({piece}) >= {MIN_LEFT_LABEL} THEN {piece} ELSE "
-        + let(clean_label(left), lambda whole: f"IF(length({whole}) >= {MIN_LEFT_LABEL}, {whole}, NULL)")
-        + " END",
-    )
+    return let(nearest_piece(left), lambda near: left_label(near, left), "string")
 
 
 def label_for(left: str, row_left: str, above: str) -> str:
     """Same line, else the part to the left, else the rows above, else whatever little stands to the left."""
-    return let(
-        nearest_piece(left),
-        lambda piece: f"CASE WHEN length({piece}) >= {MIN_LEFT_LABEL} THEN {piece} ELSE "
-        + let(
-            clean_label(left),
-            lambda whole: f"IF(length({whole}) >= {MIN_LEFT_LABEL}, {whole}, coalesce({row_left}, {above}, {piece}))",
-        )
-        + " END",
-    )
+    return let(nearest_piece(left), lambda near: chosen_label(near, left, row_left, above), "string")
 
 
 def offered_above(text: str) -> str:
@@ -55,6 +57,7 @@ def offered_above(text: str) -> str:
         trimmed(text, LABEL_EDGE),
         lambda t: f"IF({t} RLIKE {_FEW_WORDS} OR {t} LIKE '%=', "
         f"right({rtrimmed(single_spaced(t), ':=')}, {LABEL_MAX_CHARS}), NULL)",
+        "string",
     )
 
 
@@ -65,4 +68,5 @@ def offered_beside(text: str) -> str:
         lambda t: f"CASE WHEN {t} = '' OR {t} RLIKE {quoted(NAME_SHAPED)} "
         f"OR {t} RLIKE {quoted('[' + chr(92) + 'p{Nd}²³¹⁰⁴-⁹₀-₉]')} THEN NULL "
         f"WHEN {t} RLIKE {_FEW_WORDS} AND length({t}) >= 2 THEN {t} ELSE right({t}, {LABEL_MAX_CHARS}) END",
+        "string",
     )

@@ -32,9 +32,15 @@ def contains_any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(w)})" for w in needed) + ")"
 
 
-def let(value: str, body) -> str:
-    """Bind ``value`` once: ``body`` receives the bound name and returns an expression over it."""
+def let(value: str, body, returns: str | None = None) -> str:
+    """Bind ``value`` once: ``body`` receives the bound name and returns an expression over it.
+
+    Naming the type of the result gives the faster form: an array access works out the type of the whole bound
+    expression again for every row.
+    """
     name = f"v{next(_names)}"
+    if returns:
+        return f"aggregate(array({value}), CAST(NULL AS {returns}), (z{name}, {name}) -> {body(name)})"
     return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions import findings as fn
+from velum.functions.classify import strong_name
 from velum.functions.labels import offered_above
 from velum.functions.patterns import ROWS_ABOVE
 from velum.functions.sqlx import let
 
+LINES = "array<struct<line_no:int,text:string,above:string>>"
 NO_LABEL = "CAST(NULL AS STRING)"
 ITEM_COLUMNS = [
     "doc_id", "page", "line_no", "part_idx", "start", "end", "type", "value", "label", "score", "source", "date",
@@ -37,9 +39,9 @@ def lines_in_context(text: str) -> str:
                 f"'above', coalesce({nearest})))"
             )
 
-        return let(f"transform({lines}, l -> {offered_above('l')})", above)
+        return let(f"transform({lines}, l -> {offered_above('l')})", above, LINES)
 
-    return let(line_texts(text), contextual)
+    return let(line_texts(text), contextual, LINES)
 
 
 def explode_lines(pages: DataFrame) -> DataFrame:
@@ -68,13 +70,14 @@ def item_id() -> Column:
 def analyze_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Findings of lines that carry ``text, row_left, above, source``; further columns in ``keep`` ride along.
 
-    Narrow: one pass over the lines, whatever their number per document.
+    Narrow: one pass over the lines, whatever their number per document. Spans are settled inside the line, then
+    every span becomes a row and is labelled and typed there.
     """
-    found = F.expr(fn.findings("text", "row_left", "above", "source"))
     keys = ["doc_id", "page", "line_no", "part_idx", "source", *(keep or [])]
+    spans = F.expr(fn.accepted_spans("text", "row_left", "above"))
+    explained = f"x.type <> 'nazwa' OR {strong_name('x.value')}"
     return (
-        lines.select(*keys, F.explode(found).alias("f"))
-        .select(*keys, "f.*")
+        fn.describe(lines.select(*keys, "text", "row_left", "above", F.explode(spans).alias("s")), explained)
         .withColumn("item_id", item_id())
         .select(*ITEM_COLUMNS, *(keep or []))
     )

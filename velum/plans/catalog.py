@@ -123,7 +123,7 @@ def flat(items: DataFrame) -> DataFrame:
 
 @query("scan_documents")
 def _(spark, sf_dir):
-    return tables.with_text(fx.given_pages(spark, sf_dir)).select("doc_id", "page", F.length("text").alias("n_chars"))
+    return tables.with_text(fx.given_pages(spark, sf_dir)).select("doc_id", "page", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query("empty_documents")
@@ -159,7 +159,7 @@ def _(spark, sf_dir):
 
 
 def _form_report(spark, sf_dir):
-    jobs = mask_jobs(form_items(spark, sf_dir))
+    jobs = sinks.written(mask_jobs(form_items(spark, sf_dir)), "report-jobs")
     return match.join_reports(jobs, match.replacement_report(jobs.filter("new_value <> value")))
 
 
@@ -231,7 +231,7 @@ def _(spark, sf_dir):
 @query("overlap_pairs")
 def _(spark, sf_dir):
     kind_size = F.length("value") % 3
-    shifted = box_items(spark, sf_dir).select(
+    shifted = sinks.written(box_items(spark, sf_dir), "boxed-items").select(
         "doc_id",
         "page",
         F.col("item_id"),
@@ -249,9 +249,8 @@ def _(spark, sf_dir):
 def detected(lines: DataFrame, kinds: list[str]) -> DataFrame:
     """Matches of single detectors that pass their own tests, described but not yet weighed against each other."""
     groups = ", ".join(fn.kept_candidates("v", kind, "row_left", "above") for kind in kinds)
-    spans = f"transform(array({searchable('text')}), v -> flatten(array({groups})))[0]"
-    found = f"transform({spans}, s -> {fn.described('text', 's', 'row_left', 'above', 'source')})"
-    return lines.select(*LINE, F.explode(F.expr(found)).alias("f")).select(*LINE, "f.*")
+    spans = F.expr(f"transform(array({searchable('text')}), v -> flatten(array({groups})))[0]")
+    return fn.describe(lines.select(*LINE, "source", "text", "row_left", "above", F.explode(spans).alias("s")))
 
 
 def _detector(name: str, kinds: list[str], columns: list[str]):
@@ -340,7 +339,8 @@ def _(spark, sf_dir):
 @query("classify_number")
 def _(spark, sf_dir):
     rows = detected(corpus_lines(spark, sf_dir), ["percent", "phone", "number"])
-    found = F.expr(let("lower(label)", lambda low: classify.classify_number(low, "value")))
+    found = F.expr(classify.classify_number("low", "value", "digits"))
+    rows = rows.withColumn("low", F.lower("label")).withColumn("digits", F.expr(checks.plain_digits("value")))
     return rows.withColumn("c", found).select(*LINE, "start", "end", "value", "label", "c.*")
 
 
@@ -362,7 +362,9 @@ def corpus_words(spark, sf_dir):
             "substring(text, 1, w.s) AS lft", "row_left", "above",
         )
         .withColumn("label_here", F.expr(label))
-        .withColumn("c", F.expr(classify.classify_name("lft", "value", "label_here")))
+        .withColumn("low", F.lower("label_here"))
+        .withColumn("left_low", F.lower("lft"))
+        .withColumn("c", F.expr(classify.classify_name("lft", "left_low", "value", "label_here", "low")))
         .select(*LINE, "start", "end", "value", "c.*")
     )
 
@@ -488,14 +490,15 @@ def _(spark, sf_dir):
     return both.select(*LINE, "part_idx", "start", "end", "type", "value", "source", "x0")
 
 
-def _shifted_text_items(spark, sf_dir):
+def _shifted_text_items(items: DataFrame) -> DataFrame:
     """Text findings placed where every second recognised one stands."""
-    return box_items(spark, sf_dir).filter("(start + line_no) % 2 = 0").withColumn("x0", F.col("x0") + 0.25)
+    return items.filter("(start + line_no) % 2 = 0").withColumn("x0", F.col("x0") + 0.25)
 
 
 @query("dedup_ocr_items")
 def _(spark, sf_dir):
-    kept = layout.dedup_ocr_items(box_items(spark, sf_dir), _shifted_text_items(spark, sf_dir))
+    items = sinks.written(box_items(spark, sf_dir), "boxed-items")
+    kept = layout.dedup_ocr_items(items, _shifted_text_items(items))
     return kept.select(*LINE, "part_idx", "start", "end", "type", "value")
 
 
@@ -529,7 +532,7 @@ def _(spark, sf_dir):
 
 @query("select_changes")
 def _(spark, sf_dir):
-    jobs = mask_jobs(form_items(spark, sf_dir))
+    jobs = sinks.written(mask_jobs(form_items(spark, sf_dir)), "stored-changes")
     values = jobs.filter("type IN ('NIP', 'PESEL')").select(
         "item_id", F.expr("IF(type = 'NIP', '', concat('x', value))").alias("new_value")
     )
@@ -620,13 +623,14 @@ def _(spark, sf_dir):
 
 @query("batch_apply")
 def _(spark, sf_dir):
-    rewritten, _, _ = deid.batch_apply(forms(spark, sf_dir), form_mapping(spark, sf_dir))
+    jobs_path = sinks.shared_path(spark, "batch-jobs")
+    rewritten, _, _ = deid.batch_apply(forms(spark, sf_dir), form_mapping(spark, sf_dir), jobs_path)
     return rewritten
 
 
 @query("verify_replacement")
 def _(spark, sf_dir):
-    jobs = mapped_jobs(spark, sf_dir)
+    jobs = sinks.written(mapped_jobs(spark, sf_dir), "matched-jobs")
     return deid.verify_replacement(deid.apply_replacements(forms(spark, sf_dir), jobs), jobs)
 
 

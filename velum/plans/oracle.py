@@ -476,6 +476,14 @@ oracle(
 oracle("explode_lines", f"SELECT {LINE}, text FROM c_lines", "c_lines")
 _MAPPING = FORM_MAPPING.replace("FROM (SELECT c_custkey AS c FROM customer)", "FROM (SELECT c_custkey AS c FROM customer) q")
 cte("mapping", _MAPPING)
+_USABLE = "trim(coalesce(nowa, '')) <> ''"
+cte(
+    "first_entries",
+    f"""SELECT side, k, min(ord) AS ord, arg_min(trim(nowa), ord) AS nowa FROM (
+        SELECT 'l' AS side, lower(trim(opis)) AS k, ord, nowa FROM mapping WHERE {_USABLE}
+        UNION ALL SELECT 'v', trim(stara), ord, nowa FROM mapping WHERE {_USABLE}) WHERE k <> '' GROUP BY side, k""",
+    "mapping",
+)
 oracle("scan_mapping", "SELECT * FROM mapping WHERE nowa IS NOT NULL", "mapping")
 oracle(
     "filter_word_boxes",
@@ -717,11 +725,9 @@ oracle(
 )
 cte(
     "matched",
-    f"""SELECT i.*, arg_min(trim(q.nowa), q.ord) AS new_value FROM f_items i JOIN (
-            SELECT *, 'l' AS side, lower(trim(opis)) AS k FROM mapping WHERE trim(coalesce(nowa, '')) <> '' AND trim(opis) <> ''
-            UNION ALL SELECT *, 'v', trim(stara) FROM mapping WHERE trim(coalesce(nowa, '')) <> '' AND trim(stara) <> '') q
+    """SELECT i.*, arg_min(q.nowa, q.ord) AS new_value FROM f_items i JOIN first_entries q
         ON q.k = CASE q.side WHEN 'l' THEN lower(trim(i.label)) ELSE trim(i.value) END GROUP BY ALL""",
-    "f_items", "mapping",
+    "f_items", "first_entries",
 )
 oracle("match_mapping", f"SELECT {LINE}, start, type, value, label, new_value FROM matched", "matched")
 oracle(
@@ -740,7 +746,7 @@ oracle(
 )
 oracle(
     "type_profile",
-    f"SELECT type_group, type, count(*) AS n_items FROM (SELECT *, {TYPE_GROUP} AS type_group FROM c_items) "
+    f"SELECT type_group, type, CAST(count(*) AS BIGINT) AS n_items FROM (SELECT *, {TYPE_GROUP} AS type_group FROM c_items) "
     "GROUP BY ROLLUP (type_group, type)",
     "c_items",
 )
