@@ -36,14 +36,8 @@ def query(name: str):
 # ---- inputs ------------------------------------------------------------------------------------------
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when a small input comes in fewer splits; a large one is left as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(fx.corpus(spark, sf_dir))
+    return fx.corpus(spark, sf_dir)
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +53,11 @@ def form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(fx.forms(spark, sf_dir))
+    return fx.forms(spark, sf_dir)
 
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.filter_word_boxes(spread(fx.form_boxes(spark, sf_dir)), fx.BOX_DPI)
+    return tables.filter_word_boxes(fx.form_boxes(spark, sf_dir), fx.BOX_DPI)
 
 
 def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +311,7 @@ def _(spark, sf_dir):
 
 
 def _bare_numbers(spark, sf_dir, line_no: int) -> DataFrame:
-    lines = explode_lines(spread(fx.bare(spark, sf_dir))).filter(F.col("line_no") == line_no)
+    lines = explode_lines(fx.bare(spark, sf_dir)).filter(F.col("line_no") == line_no)
     return lines.select("doc_id", F.split("text", " ")[1].alias("number"))
 
 
