@@ -14,11 +14,11 @@ from velum.plans.catalog import FORM_MAPPING, REQUIRED, SALT
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[str, list[str]]] = {}
 
-S = ""
+S = "\ue000"
 # Run of digits: starts A, after '.' P, after ',' K (for dates: P after any separator); ends B, before '.' or ',' Q,
 # before separator and digit F. Word or symbol run: U … V. X stands for a '.' right before a word.
 A, Pm, K, B, Q, F, U, V = (chr(c) for c in range(0xE010, 0xE018))
-X = ""
+X = "\ue020"
 STRIP = f"[{A}-{V}]"
 
 WS = r"[\t-\r \x{85}\p{Z}]"
