@@ -35,12 +35,14 @@ def write_mapping(items: DataFrame, path: str) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, in the shared folder the cluster names.
+    """A new folder for intermediate tables, in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named, as in tests, a temporary folder of this machine is taken.
+    Only a local master may leave that setting out, as in tests: then a temporary folder of this machine is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -50,4 +52,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: computed once, whatever is built on it."""
     path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
