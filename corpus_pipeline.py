@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velum.llm import quality_rules
+from velum.llm import line_dedup, mixing, packing, quality_rules, simhash
 from velum.sources.sinks import written
 
 
@@ -13,9 +13,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in several documents stay in one of them."""
+    return line_dedup.deduplicated(docs)
 
-#: Near-duplicates and packing have no SQL form; ``tests/llm`` holds the run against a brute-force version.
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out, kept or repeated so that sources come near their targets."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+
+#: Near-duplicates, mixing and packing have no SQL form; ``tests/llm`` holds the run against brute-force versions.
 ORACLE_SQL = None
 
 

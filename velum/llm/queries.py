@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from velum.llm import quality_rules
+from velum.llm import line_dedup, mixing, packing, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_substring_dedup": substring_dedup.ORACLE_SQL,
 }
