@@ -183,15 +183,19 @@ def kept_text(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with ``kept_text`` (null where nothing is dropped) and ``n_dropped``; all columns stay."""
+    """The documents and ``_velum_kept_text``, null where nothing is dropped, and ``_velum_dropped``; all columns stay."""
     maps = written(keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs), "line-bitmaps").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_dropped").alias("_dropped"), "bitmap"
-    ).withColumnRenamed("bitmap", "_bitmap")
-    on = (F.col("doc_id") == F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
+        F.col("doc_id").alias("_velum_doc"),
+        F.col("text_key").alias("_velum_key"),
+        F.col("n_dropped").alias("_velum_dropped"),
+        F.col("bitmap").alias("_velum_bitmap"),
+    )
+    on = (F.col("doc_id") == F.col("_velum_doc")) & (text_key(F.col("text")) == F.col("_velum_key"))
     rest = docs.columns
     joined = docs.join(maps, on, "left")
-    changed = kept_text(F.when(F.col("_bitmap").isNotNull(), F.col("text")), F.col("_bitmap"))
-    return joined.select(*rest, changed.alias("_kept_text"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("_dropped"))
+    changed = kept_text(F.when(F.col("_velum_bitmap").isNotNull(), F.col("text")), F.col("_velum_bitmap"))
+    dropped = F.coalesce("_velum_dropped", F.lit(0)).cast("long")
+    return joined.select(*rest, changed.alias("_velum_kept_text"), dropped.alias("_velum_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -200,18 +204,18 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select(
         "doc_id",
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.col("_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("_kept_text", text), 256).alias("kept_sha256"),
+        F.col("_velum_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("_velum_kept_text", text), 256).alias("kept_sha256"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without the dropped lines; ``n_chars``, if there, follows the text."""
     done = dedup_lines(docs)
-    counted = [F.coalesce(F.length("_kept_text").cast("long"), F.col("n_chars")).alias("n_chars")]
+    counted = F.coalesce(F.length("_velum_kept_text").cast("long"), F.col("n_chars")).alias("n_chars")
     return done.select(
         *[
-            F.coalesce("_kept_text", "text").alias("text") if c == "text" else counted[0] if c == "n_chars" else F.col(c)
+            {"text": F.coalesce("_velum_kept_text", "text").alias("text"), "n_chars": counted}.get(c, F.col(c))
             for c in docs.columns
         ]
     )

@@ -175,17 +175,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     taken = (
         mix(docs.select("doc_id", "source", "text"))
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-        .agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-        .filter("_copies > 0")
+        .groupBy(F.col("doc_id").alias("_velum_doc"), F.col("text_key").alias("_velum_key"))
+        .agg(F.sum("copies").cast("int").alias("_velum_copies"), F.count("*").alias("_velum_rows"))
+        .filter("_velum_copies > 0")
     )
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("_velum_doc")) & (F.xxhash64("text") == F.col("_velum_key"))
     joined = docs.join(taken, on)
-    repeated = Window.partitionBy("_doc", "_key").orderBy("_doc")
-    first = joined.filter("_rows > 1").withColumn("_row", F.row_number().over(repeated)).filter("_row = 1").drop("_row")
+    repeated = Window.partitionBy("_velum_doc", "_velum_key").orderBy("_velum_doc")
+    numbered = joined.filter("_velum_rows > 1").withColumn("_velum_row", F.row_number().over(repeated))
+    first = numbered.filter("_velum_row = 1").drop("_velum_row")
     return (
-        joined.filter("_rows = 1")
+        joined.filter("_velum_rows = 1")
         .union(first)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .withColumn("_velum_copy", F.explode(F.sequence(F.lit(1), F.col("_velum_copies"))))
         .select(*docs.columns)
     )

@@ -174,9 +174,9 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns and whole texts."""
     good = quality_rules(docs).filter("kept").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")
+        F.col("doc_id").alias("_velum_doc"), F.col("text_key").alias("_velum_key")
     ).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("_velum_doc")) & (text_key(F.col("text")) == F.col("_velum_key"))
     return docs.join(good, on, "left_semi")
 
 

@@ -236,10 +236,12 @@ def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     Of rows that repeat that doc_id one stays, with the least text hash.
     """
     narrow = near_duplicates(docs.select("doc_id", "text"), limit).filter("doc_id = component_id")
-    chosen = narrow.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.min("text_key").alias("_key"), F.count("*").alias("_rows")
+    chosen = narrow.groupBy(F.col("doc_id").alias("_velum_doc")).agg(
+        F.min("text_key").alias("_velum_key"), F.count("*").alias("_velum_rows")
     )
-    joined = docs.join(chosen, (F.col("doc_id") == F.col("_doc")) & (text_key(F.col("text")) == F.col("_key")))
-    repeated = joined.filter("_rows > 1").withColumn("_row", F.row_number().over(Window.partitionBy("_doc").orderBy("_key")))
-    once = joined.filter("_rows = 1").select(*docs.columns).union(repeated.filter("_row = 1").select(*docs.columns))
-    return once.union(docs.filter("doc_id IS NULL"))
+    on = (F.col("doc_id") == F.col("_velum_doc")) & (text_key(F.col("text")) == F.col("_velum_key"))
+    joined = docs.join(chosen, on)
+    number = F.row_number().over(Window.partitionBy("_velum_doc").orderBy("_velum_key"))
+    repeated = joined.filter("_velum_rows > 1").withColumn("_velum_row", number).filter("_velum_row = 1")
+    once = joined.filter("_velum_rows = 1")
+    return once.select(*docs.columns).union(repeated.select(*docs.columns)).union(docs.filter("doc_id IS NULL"))

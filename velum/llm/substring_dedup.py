@@ -321,19 +321,22 @@ def without_windows(text: pd.Series, starts: pd.Series, window: pd.Series) -> pd
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, bits: int = CELL_BITS) -> DataFrame:
-    """The documents with ``kept_text`` and ``n_removed_words``; all columns stay."""
+    """The documents with ``kept_text`` and ``n_removed_words``; all other columns stay."""
     starts = (
         repeated_windows(docs.select("doc_id", "text"), window, run, bits)
         .groupBy(
-            F.when(~F.col("no_id"), F.col("doc_id")).alias("_doc"),
-            F.col("text_key").alias("_key"),
+            F.when(~F.col("no_id"), F.col("doc_id")).alias("_velum_doc"),
+            F.col("text_key").alias("_velum_key"),
         )
-        .agg(F.collect_set("pos").alias("_starts"))
+        .agg(F.collect_set("pos").alias("_velum_starts"))
     )
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("_velum_doc")) & (text_key(F.col("text")) == F.col("_velum_key"))
     joined = docs.join(starts, on, "left")
-    done = joined.withColumn("_done", without_windows("text", "_starts", F.lit(window)))
-    return done.select(*docs.columns, F.col("_done.kept").alias("kept_text"), F.col("_done.n_removed").alias("n_removed_words"))
+    done = joined.withColumn("_velum_done", without_windows("text", "_velum_starts", F.lit(window)))
+    others = [c for c in docs.columns if c not in ("kept_text", "n_removed_words")]
+    return done.select(
+        *others, F.col("_velum_done.kept").alias("kept_text"), F.col("_velum_done.n_removed").alias("n_removed_words")
+    )
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
