@@ -53,7 +53,7 @@ def test_line_dedup(docs, hairy, empty):
 def test_lines_streamed_in_any_cut(batch, ranges):
     """However a sorted table is cut into ranges and batches, the same lines go."""
     rng = random.Random(batch * 10 + ranges)
-    rows = [(h, 0, d, 0, p) for h in range(30) for d in range(rng.randrange(1, 12)) for p in range(rng.randrange(1, 4))]
+    rows = [(h, 0, d, h, p) for h in range(30) for d in range(rng.randrange(1, 12)) for p in range(rng.randrange(1, 4))]
     rows.sort(key=lambda r: (r[0], -r[2], r[4]))
     keys = sorted({(r[0], -r[2]) for r in rows})
     cuts = sorted(rng.sample(keys, ranges - 1))
@@ -74,7 +74,7 @@ def test_lines_streamed_in_any_cut(batch, ranges):
             total[m["h1"]] += m["n_docs"]
             top[m["h1"]] = max(top.get(m["h1"], -1), m["doc_id"])
     gone = [
-        (m["h1"], m["doc_id"], m["pos"])
+        (m["text_key"], m["doc_id"], m["pos"])
         for m in marks
         if m["kind"] == line_dedup.DROP
         or m["kind"] == line_dedup.OPEN and total[m["h1"]] >= 5 and m["doc_id"] != top[m["h1"]]
@@ -84,8 +84,9 @@ def test_lines_streamed_in_any_cut(batch, ranges):
     assert Counter(gone) == Counter(expected)
 
 
-def test_substring_dedup(docs, hairy, empty):
-    done = substring_dedup.dedup_substrings(docs, bits=16)
+@pytest.mark.parametrize("many", [1000, 0, 8])
+def test_substring_dedup(docs, hairy, empty, many):
+    done = substring_dedup.dedup_substrings(docs, bits=16, many=many)
     expected = brute.substring_dedup([r[1] for r in hairy])
     assert rows_of(done, "doc_id", "n_removed_words", "kept_text") == Counter(
         (r[0], gone, kept) for r, (_, gone, kept) in zip(hairy, expected)
@@ -105,7 +106,7 @@ def test_substring_dedup_with_a_full_sketch(docs, hairy):
 @pytest.mark.parametrize("ranges", [1, 2, 6])
 def test_windows_streamed_in_any_cut(batch, ranges):
     rng = random.Random(batch * 10 + ranges)
-    rows = [(h, 0, False, d, 0, 0) for h in range(40) for d in range(rng.choice([1, 1, 2, 3, 30]))]
+    rows = [(h, 0, False, d, h, 0) for h in range(40) for d in range(rng.choice([1, 1, 2, 3, 30]))]
     cuts = [0, *sorted(rng.sample(range(1, len(rows)), ranges - 1)), len(rows)]
     names = ["h1", "h2", "no_id", "doc_id", "text_key", "pos"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
@@ -123,7 +124,7 @@ def test_windows_streamed_in_any_cut(batch, ranges):
         if m["kind"] == substring_dedup.BORDER:
             border[m["h1"]] += m["n"]
     got = {
-        (m["h1"], m["doc_id"])
+        (m["text_key"], m["doc_id"])
         for m in marks
         if m["kind"] == substring_dedup.REPEATED or m["kind"] == substring_dedup.ALONE and border[m["h1"]] > 1
     }

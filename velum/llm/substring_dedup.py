@@ -6,10 +6,12 @@ places of minimizers bounds the count of each window from above while about a te
 sketches its texts as sparse cells; the partition sketches are merged by cell ranges, and all that leaves the merge is
 one bit per cell: counted twice or more.
 
-Second pass: only windows whose minimizer may repeat are hashed (128 bits), dealt out by ranges of (hash, document,
-place) and sorted; a window is repeated if and only if a neighbour in that order is equal. A range border may cut a group
-of equal windows: two border rows per range, counted together, settle the windows next to it. So no passage is too
-frequent for one task, and none is lost.
+Second pass: only windows whose minimizer may repeat are hashed, and grouped exactly by minimizer and hash (128 bits
+together). Neighbouring windows with one minimizer travel as one row. A minimizer with up to ``MANY`` such rows is a group
+for one task. The windows of more frequent ones are dealt out one by one, by ranges of (hash, document, place), and sorted;
+a window is then repeated if and only if a neighbour in that order is equal. A range border may cut a group of equal
+windows: two border rows per range, counted together, settle the windows next to it. So no passage is too frequent for one
+task, and none is lost.
 
 The bits are sent to every task; ``cells`` bounds them (2 ** 27 cells in each of 2 rows are 32 MB). With far more text than
 cells the sketch lets more windows through to the second pass, which stays exact.
@@ -41,6 +43,8 @@ CHUNK_BITS = 16
 #: Odd multipliers: of the two rows of the sketch, of the two polynomial hashes.
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+#: Blocks of windows up to which a minimizer is a group for one task.
+MANY = 1000
 #: Minimizers gathered before a part of a sketch leaves its task.
 PART = 1 << 20
 
@@ -190,46 +194,119 @@ def may_repeat(hashes: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.nd
     return found
 
 
-def candidate_windows(sketch, window: int, run: int, bits: int):
-    """Rows ``(h1, h2, doc_id, text_key, pos)`` of the windows that may repeat."""
+def candidate_blocks(sketch, window: int, run: int, bits: int):
+    """Rows of :data:`BLOCK_SCHEMA`: neighbouring windows that may repeat and have the same minimizer, with their hashes."""
 
     def run_(batches):
         for batch in batches:
             got = []
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for _, i, words in _texts([batch], 2):
+            others = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+            for _, i, words in _texts([batch], 3):
                 if len(words) < window:
                     continue
-                pos = np.flatnonzero(may_repeat(minimizers(words, window, run), sketch.value, bits))
+                least = minimizers(words, window, run)
+                pos = np.flatnonzero(may_repeat(least, sketch.value, bits))
                 if len(pos):
-                    h1, h2 = (run_hashes(words, window, b)[pos].view("i8") for b in BASES)
-                    got.append((h1, h2, ids[i], keys[i], pos))
+                    least, hashes = least[pos], run_hashes(words, window, BASES[1])[pos]
+                    begins = np.r_[True, (np.diff(pos) != 1) | (least[1:] != least[:-1])]
+                    place = np.arange(len(pos))
+                    begins |= (place - np.maximum.accumulate(np.where(begins, place, 0))) % BLOCK == 0
+                    first = np.flatnonzero(begins)
+                    got.append((least[first], pos[first], np.diff(np.r_[first, len(pos)]), hashes, others[i]))
             if got:
                 n = [len(g[0]) for g in got]
+                ends = 8 * np.cumsum(np.concatenate([g[2] for g in got]))
+                hashes = pa.py_buffer(np.concatenate([g[3] for g in got]).tobytes())
+                offsets = pa.py_buffer(np.r_[0, ends].astype("i4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([g[0] for g in got])),
-                        pa.array(np.concatenate([g[1] for g in got])),
-                        pa.array(np.repeat(np.array([g[2] is None for g in got]), n)),
-                        pa.array(np.repeat(np.array([g[2] or 0 for g in got], "i8"), n)),
-                        pa.array(np.repeat(np.array([g[3] for g in got], "i8"), n)),
-                        pa.array(np.concatenate([g[4] for g in got]).astype("i4")),
+                        pa.array(np.concatenate([g[0] for g in got]).view("i8")),
+                        pa.array(np.repeat(np.array([g[4][0] for g in got]), n)),
+                        pa.array(np.repeat(np.array([g[4][1] for g in got], "i8"), n)),
+                        pa.array(np.repeat(np.array([g[4][2] for g in got], "i8"), n)),
+                        pa.array(np.concatenate([g[1] for g in got]).astype("i4")),
+                        pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, hashes]),
                     ],
-                    ["h1", "h2", "no_id", "doc_id", "text_key", "pos"],
+                    BLOCK_NAMES,
                 )
 
     return run_
 
 
+#: Windows of a block at most: as many as a long has bits, less one.
+BLOCK = 63
+BLOCK_NAMES = ["least", "no_id", "doc_id", "text_key", "pos", "hashes"]
+BLOCK_SCHEMA = "least long, no_id boolean, doc_id long, text_key long, pos int, hashes binary"
+#: Repeated windows of a block: bit i stands for the window at ``pos + i``.
+FOUND_NAMES = ["no_id", "doc_id", "text_key", "pos", "bits"]
+FOUND_SCHEMA = "no_id boolean, doc_id long, text_key long, pos int, bits long"
+
+
+def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the blocks: its block, its place in it, its hash."""
+    data = batch.column(5).to_pylist()
+    n = np.array([len(x) // 8 for x in data], "i8")
+    block = np.repeat(np.arange(len(n)), n)
+    return block, np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n), np.frombuffer(b"".join(data), "<i8")
+
+
+def group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of blocks sorted by minimizer; the last minimizer of a batch waits for the next one.
+
+    No minimizer that comes here has more than ``MANY`` blocks.
+    """
+    held: pa.Table | None = None
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        batch = table.combine_chunks().to_batches()[0]
+        block, place, hashes = _windows(batch)
+        least = batch.column(0).to_numpy()[block]
+        order = np.lexsort((hashes, least))
+        same = (hashes[order][1:] == hashes[order][:-1]) & (least[order][1:] == least[order][:-1])
+        repeated = np.zeros(len(order), bool)
+        repeated[order[1:][same]] = True
+        repeated[order[:-1][same]] = True
+        bits = np.zeros(batch.num_rows, "i8")
+        np.bitwise_or.at(bits, block[repeated], np.int64(1) << place[repeated])
+        some = pa.array(bits != 0)
+        columns = [*[batch.column(i) for i in range(1, 5)], pa.array(bits)]
+        return pa.RecordBatch.from_arrays([c.filter(some) for c in columns], FOUND_NAMES)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        least = table.column(0).to_numpy()
+        cut = int(np.searchsorted(least, least[-1]))
+        held = table.slice(cut)
+        if cut:
+            yield found(table.slice(0, cut))
+    if held is not None:
+        yield found(held)
+
+
+def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as rows ``(h1, h2, no_id, doc_id, text_key, pos)``, one for each window."""
+    for batch in batches:
+        block, place, hashes = _windows(batch)
+        least, no_id, doc_id, key, pos = (batch.column(i).to_numpy(zero_copy_only=False)[block] for i in range(5))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (hashes, least, no_id, doc_id, key, (pos + place).astype("i4"))],
+            ["h1", "h2", "no_id", "doc_id", "text_key", "pos"],
+        )
+
+
 MARK_SCHEMA = "kind byte, h1 long, h2 long, no_id boolean, doc_id long, text_key long, pos int, n long"
 REPEATED, ALONE, BORDER = 0, 1, 2
 
 
 def _marks(kind: int, rows: np.ndarray, n: int = 0) -> pa.RecordBatch:
+    keyed = kind != REPEATED  # the hash has served its purpose then
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(rows), kind, "i1")),
-            *[pa.array(np.ascontiguousarray(rows[:, c])) for c in (0, 1)],
+            *[pa.array(np.ascontiguousarray(rows[:, c]) if keyed else np.zeros(len(rows), "i8")) for c in (0, 1)],
             pa.array(rows[:, 2] == 1),
             *[pa.array(np.ascontiguousarray(rows[:, c])) for c in (3, 4)],
             pa.array(rows[:, 5].astype("i4")),
@@ -279,23 +356,30 @@ def stream_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _marks(ALONE, held)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, bits: int = CELL_BITS) -> DataFrame:
-    """Starts of repeated windows as ``(no_id, doc_id, text_key, pos)``; ``no_id`` marks rows without doc_id."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, bits: int = CELL_BITS, many: int = MANY) -> DataFrame:
+    """Repeated windows as rows of :data:`FOUND_SCHEMA`; ``no_id`` marks rows without doc_id."""
     texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(texts, window, run, bits))
-    found = texts.mapInArrow(
-        candidate_windows(sketch, window, run, bits),
-        "h1 long, h2 long, no_id boolean, doc_id long, text_key long, pos int",
+    keyed = texts.select(
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_key", "text"
     )
+    blocks = written(keyed.mapInArrow(candidate_blocks(sketch, window, run, bits), BLOCK_SCHEMA), "window-blocks")
+    frequent = written(blocks.groupBy("least").count().filter(F.col("count") > many).select("least"), "window-frequent")
+    # Windows with equal hashes have equal minimizers, so a minimizer is a group to itself; frequent ones go by windows.
+    rest = blocks.join(frequent, "least", "left_anti").select(BLOCK_NAMES)
+    grouped = rest.repartition("least").sortWithinPartitions("least").mapInArrow(group_blocks, FOUND_SCHEMA)
+    single = blocks.join(frequent, "least", "left_semi").select(BLOCK_NAMES)
     order = ["h1", "h2", "no_id", "doc_id", "text_key", "pos"]
-    ranges = written(found, "windows").repartitionByRange(*order).sortWithinPartitions(*order)
+    windows = single.mapInArrow(single_windows, "h1 long, h2 long, no_id boolean, doc_id long, text_key long, pos int")
+    ranges = written(windows, "windows").repartitionByRange(*order).sortWithinPartitions(*order)
     marks = written(ranges.mapInArrow(stream_windows, MARK_SCHEMA), "window-marks")
     cut = (
         marks.filter(F.col("kind") == BORDER).groupBy("h1", "h2").agg(F.sum("n").alias("all")).filter(F.col("all") > 1)
     )
     alone = marks.filter(F.col("kind") == ALONE).join(cut, ["h1", "h2"], "left_semi")
     columns = ["no_id", "doc_id", "text_key", "pos"]
-    return marks.filter(F.col("kind") == REPEATED).select(columns).union(alone.select(columns))
+    ranged = marks.filter(F.col("kind") == REPEATED).select(columns).union(alone.select(columns))
+    return grouped.union(ranged.withColumn("bits", F.lit(1).cast("long")))
 
 
 KEPT = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_removed", T.LongType())])
@@ -303,14 +387,20 @@ KEPT = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_rem
 
 @F.pandas_udf(KEPT)
 def without_windows(text: pd.Series, starts: pd.Series, window: pd.Series) -> pd.DataFrame:
-    """The words outside all given windows, joined by one space; ``starts`` null: all words."""
+    """The words outside all given windows, joined by one space; ``starts`` null: all words.
+
+    ``starts`` has places and bits: bit i stands for the window at the place + i.
+    """
     kept, removed = [], []
     for t, s, width in zip(text, starts, window):
         words = (t or "").encode().split()
         if s is not None and len(s):
+            place = np.array([x["pos"] for x in s], "i8")[:, None] + np.arange(BLOCK)
+            bits = np.array([x["bits"] for x in s], "i8")[:, None] >> np.arange(BLOCK) & 1
+            place = place[bits == 1]
             edge = np.zeros(len(words) + 1, "i4")
-            np.add.at(edge, s, 1)
-            np.subtract.at(edge, s + width, 1)
+            np.add.at(edge, place, 1)
+            np.subtract.at(edge, place + width, 1)
             stays = np.cumsum(edge[:-1]) == 0
             words, n = [w for w, k in zip(words, stays.tolist()) if k], int((~stays).sum())
         else:
@@ -320,15 +410,17 @@ def without_windows(text: pd.Series, starts: pd.Series, window: pd.Series) -> pd
     return pd.DataFrame({"kept": kept, "n_removed": removed})
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, bits: int = CELL_BITS) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, window: int = WINDOW, run: int = RUN, bits: int = CELL_BITS, many: int = MANY
+) -> DataFrame:
     """The documents with ``kept_text`` and ``n_removed_words``; all other columns stay."""
     starts = (
-        repeated_windows(docs.select("doc_id", "text"), window, run, bits)
+        repeated_windows(docs.select("doc_id", "text"), window, run, bits, many)
         .groupBy(
             F.when(~F.col("no_id"), F.col("doc_id")).alias("_velum_doc"),
             F.col("text_key").alias("_velum_key"),
         )
-        .agg(F.collect_set("pos").alias("_velum_starts"))
+        .agg(F.collect_set(F.struct("pos", "bits")).alias("_velum_starts"))
     )
     on = F.col("doc_id").eqNullSafe(F.col("_velum_doc")) & (text_key(F.col("text")) == F.col("_velum_key"))
     joined = docs.join(starts, on, "left")
