@@ -69,10 +69,12 @@ def line_keys(min_chars: int):
 
 def _marks(kind: int, rows: np.ndarray, n_docs: int | np.ndarray = 0) -> pa.RecordBatch:
     n = len(rows)
+    keyed = kind != DROP  # the hash has served its purpose then
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n, kind, "i1")),
-            *[pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)],
+            *[pa.array(np.ascontiguousarray(rows[:, c]) if keyed else np.zeros(n, "i8")) for c in (0, 1)],
+            *[pa.array(np.ascontiguousarray(rows[:, c])) for c in (2, 3)],
             pa.array(rows[:, 4].astype("i4")),
             pa.array(np.full(n, n_docs, "i8")),
         ],

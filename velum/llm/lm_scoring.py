@@ -1,16 +1,17 @@
 """Cross-entropy difference: how much more a text looks like the target documents than like the whole corpus.
 
-Two bigram models are matched in all but their counts: one vocabulary, one smoothing, one set of hash buckets. The target
+Two bigram models are matched in all but their counts: one vocabulary, one set of word pairs, one smoothing. The target
 model counts the target documents, the background model all documents. A text's score is the mean over its words of the
 loss under the target model minus the loss under the background model; the lower, the nearer to the target.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of all documents; other words are one unknown word. Word counts
-are exact, over all documents. Bigrams are counted in ``2 ** BUCKETS`` buckets of a hash of the word pair, the same for both
-models. Each task sums up its own texts before anything is shuffled. Both tables have a fixed size however large the corpus
-is, so they can be sent to every task; texts are scored where they are read. A model that has counted a text would know it
-by heart: the text's own counts are taken off before it is scored.
+All words and word pairs of all documents are counted exactly; each task sums up its own texts before anything is shuffled,
+and what is shuffled grows with the corpus. The models keep the words and pairs of the highest counts: all those with a
+count from which on there are at most ``VOCABULARY`` words and ``PAIRS`` pairs. Other words are one unknown word, other
+pairs count as unseen in both models. So the models have a bounded size however large the corpus is, and can be sent to
+every task; texts are scored where they are read. A model that has counted a text would know it by heart: the text's own
+counts are taken off before it is scored.
 
-    P(w | v) = (count(v w) + STRENGTH * P(w)) / (count(v) + STRENGTH),  P(w) = (count(w) + 1) / (words + VOCABULARY + 1)
+    P(w | v) = (count(v w) + STRENGTH * P(w)) / (count(v .) + STRENGTH),  P(w) = (count(w) + 1) / (words + types)
 
 Defined cases: a text without words, null included, has 0 words and null losses; rows that repeat a doc_id are counted and
 scored each; labels without a document, or that repeat, change nothing; without target documents the target model knows
@@ -21,17 +22,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from velum.sources.sinks import written
 
-VOCABULARY, BUCKETS, STRENGTH = 1 << 16, 20, 8.0
-#: Distinct words that a task sums up before it passes them on.
-PART = 300_000
+VOCABULARY, PAIRS, STRENGTH = 1 << 16, 1 << 20, 8.0
+#: Distinct words, and pairs, that a task sums up before it passes them on.
+PART, PAIR_PART = 300_000, 2_000_000
 SCORED = "doc_id long, n_tokens long, ce_target double, ce_background double, score double"
 
 
@@ -68,83 +71,86 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+@dataclass
 class Vocabulary:
-    """Ids of the frequent words from 1; 0 is the unknown word, ``len(counts)`` the start of a text."""
+    """Ids of the known words from 1; 0 is the unknown word, ``len(every)`` the start of a text."""
 
-    def __init__(self, words: list[str], every: np.ndarray, target: np.ndarray):
-        self.words = words
-        self.every, self.target = every, target  # counts by id, the unknown word's first
+    words: list[str]
+    every: np.ndarray  # counts by id, the unknown word's first
+    target: np.ndarray
 
     def ids(self) -> dict[bytes, int]:
         return {w.encode(): i for i, w in enumerate(self.words, 1)}
 
 
 def pairs(text: str | None, ids: dict[bytes, int], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the words, of the words before them, and the buckets of both."""
+    """Ids of the words, of the words before them, and numbers of both together."""
     get = ids.get
-    words = np.array([get(w, 0) for w in words_of(text)], "u8")
-    before = np.r_[np.uint64(start), words[:-1]] if len(words) else words
-    h = (before * np.uint64(start + 1) + words) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return words.astype("i8"), before.astype("i8"), (h >> np.uint64(64 - BUCKETS)).astype("i8")
+    words = np.array([get(w, 0) for w in words_of(text)], "i8")
+    before = np.r_[start, words[:-1]] if len(words) else words
+    return words, before, before * (start + 1) + words
 
 
 def _pair_counts(vocabulary):
+    def out(every: list[np.ndarray], target: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(every), return_counts=True)
+        n_target = np.zeros(len(found), "i8")
+        if target:
+            own, m = np.unique(np.concatenate(target), return_counts=True)
+            n_target[np.searchsorted(found, own)] = m
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.array(n.astype("i8")), pa.array(n_target)], ["pair", "n", "n_target"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, start = vocabulary.value.ids(), len(vocabulary.value.every)
-        every, target = np.zeros(1 << BUCKETS, "i8"), np.zeros(1 << BUCKETS, "i8")
-        starts = np.zeros(2, "i8")
+        every, target, size = [], [], 0
         for batch in batches:
             for is_target, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                bucket = pairs(text.as_py(), ids, start)[2]
-                if len(bucket):
-                    np.add.at(every, bucket, 1)
-                    starts[0] += 1
-                    if is_target:
-                        np.add.at(target, bucket, 1)
-                        starts[1] += 1
-        found = np.flatnonzero(every)
-        # Bucket -1 counts the texts: how often the start was the word before.
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[found, -1].astype("i4")),
-                pa.array(np.r_[every[found], starts[0]]),
-                pa.array(np.r_[target[found], starts[1]]),
-            ],
-            ["bucket", "n", "n_target"],
-        )
+                pair = pairs(text.as_py(), ids, start)[2]
+                every.append(pair)
+                size += len(pair)
+                if is_target:
+                    target.append(pair)
+                if size > PAIR_PART:
+                    yield out(every, target)
+                    every, target, size = [], [], 0
+        if every:
+            yield out(every, target)
 
     return run
 
 
 class Models:
-    """Counts of both models: by word, by word before, and by bucket."""
+    """Both models: for each the counts of words, of known pairs, and of the known pairs that begin with a word."""
 
-    def __init__(self, vocabulary: Vocabulary, every: np.ndarray, target: np.ndarray, texts: tuple[int, int]):
-        self.vocabulary = vocabulary
-        self.parts = []
-        for words, buckets, n in ((vocabulary.target, target, texts[1]), (vocabulary.every, every, texts[0])):
-            self.parts.append((words.astype("f8"), np.r_[words, n].astype("f8"), buckets.astype("f8")))
+    def __init__(self, vocabulary: Vocabulary, known: np.ndarray, every: np.ndarray, target: np.ndarray):
+        self.vocabulary, self.known = vocabulary, known
+        start = len(vocabulary.every)
+        self.parts = [
+            (words, n, np.bincount(known // (start + 1), n, start + 1))
+            for words, n in ((vocabulary.target, target), (vocabulary.every, every))
+        ]
 
-    def losses(self, words, before, bucket, is_target: bool) -> tuple[float, float]:
+    def losses(self, words, before, pair, is_target: bool) -> tuple[float, float]:
         """Mean loss per word under the target and the background model, the text's own counts taken off both."""
-        own = [times(words), times(before), times(bucket)]
+        place = np.minimum(np.searchsorted(self.known, pair), max(len(self.known) - 1, 0))
+        there = self.known[place] == pair if len(self.known) else np.zeros(len(pair), bool)
+        own = times(words), times(pair) * there, times(before, there)
         out = []
-        for (single, seen, buckets), learned in zip(self.parts, (is_target, True)):
-            word_n, before_n, pair_n = own if learned else (0, 0, 0)
+        for (single, counts, begun), learned in zip(self.parts, (is_target, True)):
+            word_n, pair_n, before_n = own if learned else (0, 0, 0)
             total = single.sum() - (len(words) if learned else 0) + len(single)
-            context = seen[before] - before_n
-            # A bucket may hold other pairs as well; a pair is not seen more often than its first word.
-            pair = np.minimum(buckets[bucket] - pair_n, context)
-            p = (pair + STRENGTH * (single[words] - word_n + 1) / total) / (context + STRENGTH)
+            seen = (counts[place] if len(counts) else 0) * there - pair_n
+            p = (seen + STRENGTH * (single[words] - word_n + 1) / total) / (begun[before] - before_n + STRENGTH)
             out.append(float(-np.log(p).mean()))
         return out[0], out[1]
 
 
-def times(x: np.ndarray) -> np.ndarray:
-    """How often each element occurs."""
-    _, place, n = np.unique(x, return_inverse=True, return_counts=True)
-    return n[place]
+def times(x: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+    """How often each element occurs, or how often where ``counted``."""
+    _, place = np.unique(x, return_inverse=True)
+    return np.bincount(place, counted)[place]
 
 
 def _score(models):
@@ -154,9 +160,9 @@ def _score(models):
         for batch in batches:
             n, ce = [], []
             for is_target, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                words, before, bucket = pairs(text.as_py(), ids, start)
+                words, before, pair = pairs(text.as_py(), ids, start)
                 n.append(len(words))
-                t, b = m.losses(words, before, bucket, is_target) if len(words) else (None, None)
+                t, b = m.losses(words, before, pair, is_target) if len(words) else (None, None)
                 ce.append((t, b, None if t is None else t - b))
             columns = [pa.array([x[i] for x in ce], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(
@@ -167,29 +173,28 @@ def _score(models):
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """The rows with the highest ``n``: all from the least count on at which they are no more than ``most``."""
+    by_count = counts.groupBy("n").agg(F.count("*").alias("rows"))
+    so_far = by_count.withColumn("rows", F.sum("rows").over(Window.orderBy(F.desc("n"))))
+    least = so_far.filter(F.col("rows") <= most).agg(F.min("n")).first()[0]
+    return counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
+
+
 def learn(docs: DataFrame) -> Models:
     """Both models from ``(doc_id, is_target, text)``; two passes over all texts."""
-    counts = docs.mapInArrow(_word_counts, "word string, n long, n_target long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.sum("n_target").alias("n_target")
-    )
+    sums = [F.sum("n").alias("n"), F.sum("n_target").alias("n_target")]
+    counts = docs.mapInArrow(_word_counts, "word string, n long, n_target long").groupBy("word").agg(*sums)
     counts = written(counts, "lm-words")
-    frequent = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    every = np.array([0, *[r["n"] for r in frequent]], "i8")
-    target = np.array([0, *[r["n_target"] for r in frequent]], "i8")
+    frequent = most_frequent(counts, VOCABULARY).sort_by("word")
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")]).first()
+    every, target = (np.r_[0, frequent.column(c).to_numpy()].astype("i8") for c in ("n", "n_target"))
     every[0], target[0] = total[0] - every.sum(), total[1] - target.sum()
-    vocabulary = Vocabulary([r["word"] for r in frequent], every, target)
+    vocabulary = Vocabulary(frequent.column("word").to_pylist(), every, target)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    summed = docs.mapInArrow(_pair_counts(shared), "bucket int, n long, n_target long").groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.sum("n_target").alias("n_target")
-    )
-    n, n_target, texts = np.zeros(1 << BUCKETS, "i8"), np.zeros(1 << BUCKETS, "i8"), (0, 0)
-    found = summed.toArrow()  # at most 2 ** BUCKETS + 1 rows
-    bucket, a, b = (found.column(i).to_numpy() for i in range(3))
-    n[bucket[bucket >= 0]], n_target[bucket[bucket >= 0]] = a[bucket >= 0], b[bucket >= 0]
-    if (bucket < 0).any():
-        texts = int(a[bucket < 0][0]), int(b[bucket < 0][0])
-    return Models(vocabulary, n, n_target, texts)
+    both = docs.mapInArrow(_pair_counts(shared), "pair long, n long, n_target long").groupBy("pair").agg(*sums)
+    known = most_frequent(written(both, "lm-pairs"), PAIRS).sort_by("pair")
+    return Models(vocabulary, *[known.column(c).to_numpy() for c in ("pair", "n", "n_target")])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
