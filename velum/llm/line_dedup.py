@@ -140,13 +140,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     order = ["h1", "h2", F.desc("doc_id")]
     ranges = keys.repartitionByRange(*order).sortWithinPartitions(*order, "text_key", "pos")
     marks = written(ranges.mapInArrow(stream_groups(min_docs), MARK_SCHEMA), "line-marks")
-    cut = (
+    cut = (  # two rows for each range at most, so it can be broadcast
         marks.filter(F.col("kind") == BORDER)
         .groupBy("h1", "h2")
         .agg(F.sum("n_docs").alias("all_docs"), F.max("doc_id").alias("top"))
         .filter(F.col("all_docs") >= min_docs)
     )
-    opened = marks.filter(F.col("kind") == OPEN).drop("n_docs").join(cut, ["h1", "h2"]).filter("doc_id <> top")
+    opened = marks.filter(F.col("kind") == OPEN).drop("n_docs").join(F.broadcast(cut), ["h1", "h2"]).filter("doc_id <> top")
     columns = ["doc_id", "text_key", "pos"]
     return marks.filter(F.col("kind") == DROP).select(columns).union(opened.select(columns))
 

@@ -373,10 +373,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN, bits
     windows = single.mapInArrow(single_windows, "h1 long, h2 long, no_id boolean, doc_id long, text_key long, pos int")
     ranges = written(windows, "windows").repartitionByRange(*order).sortWithinPartitions(*order)
     marks = written(ranges.mapInArrow(stream_windows, MARK_SCHEMA), "window-marks")
-    cut = (
+    cut = (  # two rows for each range at most, so it can be broadcast
         marks.filter(F.col("kind") == BORDER).groupBy("h1", "h2").agg(F.sum("n").alias("all")).filter(F.col("all") > 1)
     )
-    alone = marks.filter(F.col("kind") == ALONE).join(cut, ["h1", "h2"], "left_semi")
+    alone = marks.filter(F.col("kind") == ALONE).join(F.broadcast(cut), ["h1", "h2"], "left_semi")
     columns = ["no_id", "doc_id", "text_key", "pos"]
     ranged = marks.filter(F.col("kind") == REPEATED).select(columns).union(alone.select(columns))
     return grouped.union(ranged.withColumn("bits", F.lit(1).cast("long")))
