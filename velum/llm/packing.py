@@ -37,7 +37,7 @@ SIZE, END = 1024, 2
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 PIECE_SCHEMA = "doc_id long, text_key long, piece int, start long, length long, ids_crc32 long"
 PLACED = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-STEPS = 400
+STEPS, EMPHASIS = 400, (0.0, 1.0)
 
 
 class Encoder:
@@ -110,9 +110,12 @@ def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.stack([a, b, c], axis=1)[there[c]]
 
 
-def fit(counts: np.ndarray, found: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Repeat counts ``x >= 0`` of the patterns nearest to the counts in least squares, by accelerated projected gradients."""
-    weight = 1 / np.sqrt(np.maximum(counts, 1.0))
+def fit(counts: np.ndarray, found: np.ndarray, emphasis: float, steps: int = STEPS) -> np.ndarray:
+    """Repeat counts ``x >= 0`` of the patterns nearest to the counts in least squares, by accelerated projected gradients.
+
+    ``emphasis`` makes long pieces weigh more: what is left of short ones fills gaps more easily.
+    """
+    weight = (np.arange(len(counts)) / len(counts)) ** emphasis / np.sqrt(np.maximum(counts, 1.0))
     weight[0] = 0
     scaled = counts * weight
     n = len(counts)
@@ -166,13 +169,12 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[list[tuple[int, int]], i
     return [x for entries in room.values() for x in entries]
 
 
-def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[tuple[int, int]], int]]:
-    """Contents ``[(length, times), ...]`` of sequences and how often each is used; ``counts[l]`` pieces have length l."""
+def fitted_plan(counts: np.ndarray, size: int, emphasis: float) -> list[tuple[list[tuple[int, int]], int]]:
     left = counts.copy()
     out = []
     found = patterns(np.flatnonzero(counts[:size]), size)
     if len(found):
-        x = fit(counts[: size + 1].astype("f8"), found)
+        x = fit(counts[: size + 1].astype("f8"), found, emphasis)
         whole = np.floor(x + 1e-6).astype("i8")
         for p in np.argsort(-whole, kind="stable"):
             if not whole[p]:
@@ -185,6 +187,14 @@ def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[tuple[int, int
     return out + best_fit(left, size)
 
 
+def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[tuple[int, int]], int]]:
+    """Contents ``[(length, times), ...]`` of sequences and how often each is used; ``counts[l]`` pieces have length l.
+
+    Fitted with all lengths alike and with long ones weighing more; the plan with fewer sequences is taken.
+    """
+    return min((fitted_plan(counts, size, e) for e in EMPHASIS), key=lambda done: sum(n for _, n in done))
+
+
 def runs(sequences: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
     """The plan by length and rank: key, first sequence, pieces per sequence and offset of each run, sorted by key."""
     used: dict[int, int] = {}
