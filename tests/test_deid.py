@@ -33,7 +33,7 @@ CHANGES = {
     "61 1090 1014 0000 0712 1981 2874": "75 2490 0005 0000 4600 7430 1234",
     "FV/2024/01/15": "FV/2026/03/99-A",
 }
-MAPPING = "ord int, typ string, opis string, stara string, nowa string"
+MAPPING = "ord long, typ string, opis string, stara string, nowa string"
 
 
 def test_seven_changes_on_an_invoice(spark, pages, tmp_path):
@@ -48,8 +48,65 @@ def test_seven_changes_on_an_invoice(spark, pages, tmp_path):
     assert sorted((r.doc_id, r.status, r.n_replaced) for r in summary.collect()) == [
         (0, "ok", 7), (1, "ok", 0), (2, "błąd: brak tekstu", 0),
     ]
-    check = deid.verify_replacement(rewritten, match.match_mapping(analyze(source), mapping)).first()
-    assert (check.n_values, check.n_left, check.n_missing) == (7, 0, 0)
+    check = deid.verify_replacement(rewritten, match.match_mapping(analyze(source), mapping)).collect()
+    assert sorted(tuple(r) for r in check) == [(0, 7, 0, 0, 0), (1, 0, 0, 0, 0), (2, 0, 0, 0, 0)]
+
+
+def test_leaks_are_found_anywhere_in_the_document(spark):
+    """A value left on another page counts as left, one that the detector finds again as found, a lost one as missing."""
+    schema = "doc_id long, page int, text string"
+    before = spark.createDataFrame([(1, 0, "NIP 5260001246"), (1, 1, "NIP 5260001246"), (2, 0, "x")], schema)
+    mapping = spark.createDataFrame([(0, "", "", "5260001246", "[NIP]")], MAPPING)
+    jobs = match.match_mapping(analyze(before), mapping).filter("page = 0")
+    got = deid.verify_replacement(deid.apply_replacements(before, jobs), jobs).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, 0, 1), (2, 0, 0, 0, 0)]
+    lost = before.withColumn("text", F.lit("nothing"))
+    assert tuple(deid.verify_replacement(lost, jobs).orderBy("doc_id").first()) == (1, 1, 0, 1, 0)
+
+
+def test_a_written_mapping_replaces_what_it_was_made_from(spark, pages, tmp_path):
+    """Of two new values for one label the first in reading order wins, after writing and reading back."""
+    source = pages("PESEL: 44051401359\nNIP 5260001246", "PESEL: 85010112345", "bez danych")
+    items = analyze(source).withColumn("new_value", F.concat(F.lit("<"), "doc_id", F.lit(":"), "type", F.lit(">")))
+    sinks.write_mapping(items.repartition(5), str(tmp_path / "mapping"))
+    mapping = tables.scan_mapping_lines(spark, str(tmp_path / "mapping"))
+    rewritten, audit, _ = deid.batch_apply(source, mapping, str(tmp_path / "jobs"))
+    assert {r.doc_id: r.text for r in rewritten.collect()} == {
+        0: "PESEL: <0:PESEL>\nNIP <0:NIP>", 1: "PESEL: <0:PESEL>", 2: "bez danych",
+    }
+    assert audit.count() == 3
+
+
+def test_a_mapping_without_order_is_refused(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"stara": "a", "nowa": "b"}')
+    with pytest.raises(Exception, match="no ord"):
+        tables.scan_mapping_lines(spark, str(tmp_path / "m.json")).collect()
+
+
+def test_a_frequent_label_is_split(spark):
+    """Shuffled by force, the label of nearly all items is dealt to several tasks; unlabelled items are spread."""
+    settings_ = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings_}
+    for k, v in settings_.items():
+        spark.conf.set(k, v)
+    try:
+        items = spark.range(40_000).selectExpr(
+            "concat('i', id) AS item_id", "CASE id % 50 WHEN 0 THEN '' WHEN 1 THEN concat('l', id) ELSE 'PESEL' END AS label",
+            "concat('v', id) AS value", "repeat(sha2(cast(id AS string), 256), 2) AS more",
+        )
+        mapping = spark.createDataFrame([(0, "", "pesel", "", "new"), (1, "", "", "v0", "zero")], MAPPING)
+        matched = match.match_mapping(items.repartition(4), mapping)
+        assert len(matched.collect()) == 38_401
+        assert "skew=true" in matched._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_first_entry_wins(spark, pages):

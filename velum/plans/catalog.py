@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,18 +80,18 @@ def form_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FORM_MAPPING = f"""
-SELECT CAST(c * 4 AS INT) AS ord, 'NIP' AS typ, 'konto klienta' AS opis,
+SELECT CAST(c AS BIGINT) * 4 AS ord, 'NIP' AS typ, 'konto klienta' AS opis,
        concat({fx._NIP9}, {fx._text(f'{fx._NIP_SUM} % 10')}) AS stara, concat('NIP-', {fx._text('c')}) AS nowa
 FROM (SELECT c_custkey AS c FROM customer)
 UNION ALL
-SELECT CAST(c * 4 + 1 AS INT), 'PESEL', CASE WHEN c % 2 = 0 THEN ' PeSeL ' ELSE 'inne' END, '',
+SELECT CAST(c AS BIGINT) * 4 + 1, 'PESEL', CASE WHEN c % 2 = 0 THEN ' PeSeL ' ELSE 'inne' END, '',
        concat('P-', {fx._text('c')})
 FROM (SELECT c_custkey AS c FROM customer)
 UNION ALL
-SELECT CAST(c * 4 + 2 AS INT), 'kwota', 'do zapłaty', '', CASE WHEN c % 2 = 0 THEN '' ELSE NULL END
+SELECT CAST(c AS BIGINT) * 4 + 2, 'kwota', 'do zapłaty', '', CASE WHEN c % 2 = 0 THEN '' ELSE NULL END
 FROM (SELECT c_custkey AS c FROM customer)
 UNION ALL
-SELECT CAST(c * 4 + 3 AS INT), 'procent', CASE WHEN c = 0 THEN 'Wygenerowano' ELSE 'brak' END, ' 23% ', ' 8% '
+SELECT CAST(c AS BIGINT) * 4 + 3, 'procent', CASE WHEN c = 0 THEN 'Wygenerowano' ELSE 'brak' END, ' 23% ', ' 8% '
 FROM (SELECT c_custkey AS c FROM customer)
 """
 
@@ -103,13 +104,9 @@ def mask_jobs(items: DataFrame) -> DataFrame:
     )
 
 
-def day_text():
-    return F.coalesce(F.col("date.date").cast("string"), F.lit(""))
-
-
 def flat(items: DataFrame) -> DataFrame:
-    """Items with the date as text, empty where there is none, in place of the nested one."""
-    return items.withColumn("date_value", day_text()).drop("date")
+    """Items with the date as text, null where there is none, in place of the nested one."""
+    return items.withColumn("date_value", F.col("date.date").cast("string")).drop("date")
 
 
 # ---- sources and sinks -------------------------------------------------------------------------------
@@ -122,11 +119,9 @@ def _(spark, sf_dir):
 
 @query("empty_documents")
 def _(spark, sf_dir):
-    halves = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(" \n\t ")
-    talks = fx.table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), halves.alias("text")
-    )
-    return tables.empty_documents(talks)
+    """Every second page of all text tables made blank."""
+    halves = F.when((F.col("doc_id") + F.col("page")) % 2 == 0, F.col("text")).otherwise(" \n\t ")
+    return tables.empty_documents(fx.given_pages(spark, sf_dir).withColumn("text", halves))
 
 
 @query("explode_lines")
@@ -134,17 +129,19 @@ def _(spark, sf_dir):
     return explode_lines(corpus(spark, sf_dir))
 
 
-@query("scan_file_set")
-def _(spark, sf_dir):
-    listed = tables.scan_file_set(spark, sf_dir, "*.[pP]arquet")
-    return listed.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "modificationTime")
-
-
 @query("scan_mapping")
 def _(spark, sf_dir):
+    """JSON arrays, one file for each thousand customers."""
     path = sinks.shared_path(spark, "mapping")
-    form_mapping(spark, sf_dir).write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return tables.scan_mapping_lines(spark, path)
+    entry = F.to_json(F.struct("typ", "opis", "stara", "nowa"), {"ignoreNullFields": "false"})
+    arrays = (
+        form_mapping(spark, sf_dir)
+        .groupBy(F.expr("ord div 4000").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("ord", entry.alias("entry")))).alias("entries"))
+        .select("part", F.expr("concat('[', array_join(entries.entry, ',\n'), ']')").alias("value"))
+    )
+    arrays.write.partitionBy("part").text(path)
+    return tables.scan_mapping(spark, f"{path}/*").drop("ord")
 
 
 @query("filter_word_boxes")
@@ -178,9 +175,10 @@ def _(spark, sf_dir):
 
 @query("write_mapping")
 def _(spark, sf_dir):
+    """Written and read back as the mapping it is."""
     path = sinks.shared_path(spark, "mapping-out")
     sinks.write_mapping(mask_jobs(form_items(spark, sf_dir)), path)
-    return spark.read.schema("typ string, opis string, stara string, nowa string").json(path)
+    return tables.scan_mapping_lines(spark, path).drop("ord")
 
 
 # ---- layout ------------------------------------------------------------------------------------------
@@ -310,19 +308,20 @@ def _(spark, sf_dir):
 # ---- scalar functions --------------------------------------------------------------------------------
 
 
-def _bare_numbers(spark, sf_dir, line_no: int) -> DataFrame:
-    lines = explode_lines(fx.bare(spark, sf_dir)).filter(F.col("line_no") == line_no)
-    return lines.select("doc_id", F.split("text", " ")[1].alias("number"))
+def _digit_runs(spark, sf_dir) -> DataFrame:
+    """Every run of digits in the corpus, with the number of its line."""
+    runs = F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("number")
+    return explode_lines(corpus(spark, sf_dir)).select(*LINE, runs)
 
 
 @query("pesel_valid")
 def _(spark, sf_dir):
-    return _bare_numbers(spark, sf_dir, 0).withColumn("valid", F.expr(checks.pesel_valid("number")))
+    return _digit_runs(spark, sf_dir).withColumn("valid", F.expr(checks.pesel_valid("number")))
 
 
 @query("nip_valid")
 def _(spark, sf_dir):
-    return _bare_numbers(spark, sf_dir, 1).withColumn("valid", F.expr(checks.nip_valid("number")))
+    return _digit_runs(spark, sf_dir).withColumn("valid", F.expr(checks.nip_valid("number")))
 
 
 @query("digits_only")
@@ -542,7 +541,8 @@ def mapped_jobs(spark, sf_dir):
 
 @query("match_mapping")
 def _(spark, sf_dir):
-    return mapped_jobs(spark, sf_dir).select(*LINE, "start", "type", "value", "label", "new_value")
+    items = match.match_mapping(corpus_items(spark, sf_dir), form_mapping(spark, sf_dir))
+    return items.select(*LINE, "start", "type", "value", "label", "new_value")
 
 
 @query("join_reports")
@@ -615,11 +615,33 @@ def _(spark, sf_dir):
     return deid.shift_dates(corpus(spark, sf_dir), SALT).drop("changes")
 
 
+def _batch(spark, sf_dir):
+    jobs_path = sinks.shared_path(spark, "batch-jobs")
+    return deid.batch_apply(corpus(spark, sf_dir), form_mapping(spark, sf_dir), jobs_path)
+
+
 @query("batch_apply")
 def _(spark, sf_dir):
-    jobs_path = sinks.shared_path(spark, "batch-jobs")
-    rewritten, _, _ = deid.batch_apply(forms(spark, sf_dir), form_mapping(spark, sf_dir), jobs_path)
-    return rewritten
+    return _batch(spark, sf_dir)[0]
+
+
+@query("batch_apply_report")
+def _(spark, sf_dir):
+    return _batch(spark, sf_dir)[1]
+
+
+@query("batch_apply_summary")
+def _(spark, sf_dir):
+    return _batch(spark, sf_dir)[2]
+
+
+@query("mapping_round_trip")
+def _(spark, sf_dir):
+    """A mapping exported from changed items, read back and applied to the documents it came from."""
+    path, jobs_path = sinks.shared_path(spark, "mapping-out"), sinks.shared_path(spark, "batch-jobs")
+    pages = forms(spark, sf_dir)
+    sinks.write_mapping(mask_jobs(analyze(pages)), path)
+    return deid.batch_apply(pages, tables.scan_mapping_lines(spark, path), jobs_path)[2]
 
 
 @query("verify_replacement")
@@ -633,8 +655,12 @@ def _(spark, sf_dir):
 
 @query("stream_analyze")
 def _(spark, sf_dir):
-    source = f"{sf_dir}/documents*.parquet"
+    """The text tables as streams of arriving pages."""
     out, checkpoint = sinks.shared_path(spark, "stream-items"), sinks.shared_path(spark, "stream-checkpoint")
-    pages = stream_documents(spark, source, spark.read.parquet(source).schema)
-    stream_analyze(pages, out, checkpoint).awaitTermination()
+    arriving = []
+    for name, columns in fx.TEXT_TABLES.items():
+        source = f"{sf_dir}/{name}*.parquet"
+        schema = spark.read.parquet(source).schema
+        arriving.append(fx.numbered(stream_documents(spark, source, schema, *columns), name))
+    stream_analyze(reduce(DataFrame.unionByName, arriving), out, checkpoint).awaitTermination()
     return flat(spark.read.parquet(out))

@@ -8,6 +8,8 @@ plain SQL that Spark and DuckDB both run, so the same text can be checked on bot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ SURNAMES = "Nowak Kowalski Zielińska Wiśniewski Ćwik Lewandowska-Zych Śliwa
 
 # Documents of the several tables are told apart by the range of their numbers.
 DOC_RANGE = 1_000_000_000_000
-SOURCES = ["documents", "pages", "conversations", "forms", "bare"]
+SOURCES = ["documents", "pages", "conversations", "forms", "bare", "benchmark"]
 FIRST_DOC = {name: i * DOC_RANGE for i, name in enumerate(SOURCES)}
 
 BOX_DPI = 144
@@ -114,18 +116,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when an input comes in fewer splits; a larger one is left as it is read.
-
-    The detector is bound by the processor, so a small file read as one split would keep one core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=spread(orders))
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,20 +129,26 @@ def bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, bare_sql(SPARK_JOIN))
 
 
-def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text column of the given tables as pages."""
+#: Table, number, text and page columns of the text tables.
+TEXT_TABLES = {
+    "documents": ("doc_id", "text", None),
+    "pages": ("page_id", "html", None),
+    "conversations": ("conv_id", "text", "turn"),
+    "benchmark": ("item_id", "text", None),
+}
 
-    def shifted(pages: DataFrame, kind: str) -> DataFrame:
-        return spread(pages).withColumn("doc_id", F.col("doc_id") + FIRST_DOC[kind])
 
-    documents = scan_documents(spark, f"{sf_dir}/documents.parquet")
-    pages = scan_documents(spark, f"{sf_dir}/pages.parquet", "page_id", "html")
-    talks = scan_documents(spark, f"{sf_dir}/conversations.parquet", "conv_id", "text", "turn")
-    return (
-        shifted(documents, "documents")
-        .unionByName(shifted(pages, "pages"))
-        .unionByName(shifted(talks, "conversations"))
-    )
+def numbered(pages: DataFrame, kind: str) -> DataFrame:
+    return pages.withColumn("doc_id", F.col("doc_id") + FIRST_DOC[kind])
+
+
+def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text column of the given tables as pages."""
+    read = [
+        numbered(scan_documents(spark, f"{sf_dir}/{name}.parquet", *columns), name)
+        for name, columns in TEXT_TABLES.items()
+    ]
+    return reduce(DataFrame.unionByName, read)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

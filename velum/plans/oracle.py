@@ -133,7 +133,8 @@ cte(
     "given_pages",
     f"""SELECT doc_id, CAST(0 AS INT) AS page, text FROM documents
     UNION ALL SELECT {_R['pages']} + page_id, 0, html FROM pages
-    UNION ALL SELECT {_R['conversations']} + conv_id, CAST(turn AS INT), text FROM conversations""",
+    UNION ALL SELECT {_R['conversations']} + conv_id, CAST(turn AS INT), text FROM conversations
+    UNION ALL SELECT {_R['benchmark']} + item_id, 0, text FROM benchmark""",
 )
 cte("f_pages", fx.forms_sql(fx.DUCKDB_JOIN))
 cte("b_pages", fx.bare_sql(fx.DUCKDB_JOIN))
@@ -385,9 +386,9 @@ def named(spans: str, lines: str) -> str:
         FROM {spans} h JOIN {lines} l USING ({KEY}))))"""
 
 
-for _prefix in ("c", "f", "b"):
+for _prefix in ("c", "f", "b", "r"):
     lines_of(_prefix)
-for _prefix in ("c", "f", "o"):
+for _prefix in ("c", "f", "o", "r"):
     engine(_prefix)
 
 # ---- recognised words --------------------------------------------------------------------------------
@@ -471,7 +472,8 @@ oracle(
 )
 oracle(
     "empty_documents",
-    f"SELECT conv_id AS doc_id, CAST(turn AS INT) AS page FROM conversations WHERE turn % 2 <> 0 OR trim(text, {_SPACES}) = ''",
+    f"SELECT doc_id, page FROM given_pages WHERE (doc_id + page) % 2 <> 0 OR coalesce(trim(text, {_SPACES}), '') = ''",
+    "given_pages",
 )
 oracle("explode_lines", f"SELECT {LINE}, text FROM c_lines", "c_lines")
 _MAPPING = FORM_MAPPING.replace("FROM (SELECT c_custkey AS c FROM customer)", "FROM (SELECT c_custkey AS c FROM customer) q")
@@ -484,7 +486,7 @@ cte(
         UNION ALL SELECT 'v', trim(stara), ord, nowa FROM mapping WHERE {_USABLE}) WHERE k <> '' GROUP BY side, k""",
     "mapping",
 )
-oracle("scan_mapping", "SELECT * FROM mapping WHERE nowa IS NOT NULL", "mapping")
+oracle("scan_mapping", "SELECT typ, opis, stara, nowa FROM mapping WHERE nowa IS NOT NULL", "mapping")
 oracle(
     "filter_word_boxes",
     "SELECT doc_id, page, 0 AS block, 0 AS par, i + 1 AS line, word AS text, x0, y0, x1, y1 FROM o_words",
@@ -523,6 +525,12 @@ oracle(
         GROUP BY ALL)""",
     "o_words", "o_rows",
 )
+cte(
+    "shifted",
+    """SELECT doc_id, page, item_id, x0, y0 - 6 * (len(value) % 3) AS y0, x1, y1 + 6 * (len(value) % 3) AS y1
+    FROM o_boxed""",
+    "o_boxed",
+)
 oracle(
     "overlap_pairs",
     """SELECT doc_id, page, item_a, item_b, common_area FROM (
@@ -531,12 +539,8 @@ oracle(
             least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS smaller
         FROM shifted a JOIN shifted b ON a.doc_id = b.doc_id AND a.page = b.page AND a.item_id < b.item_id
             AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
-    WHERE common_area > CAST(0.35 AS DOUBLE) * smaller""".replace(
-        "FROM shifted", "FROM (SELECT * REPLACE (y0 - 6 * (len(value) % 3) AS y0, y1 + 6 * (len(value) % 3) AS y1) FROM o_boxed)"
-    ).replace(
-        "JOIN shifted", "JOIN (SELECT * REPLACE (y0 - 6 * (len(value) % 3) AS y0, y1 + 6 * (len(value) % 3) AS y1) FROM o_boxed)"
-    ),
-    "o_boxed",
+    WHERE common_area > CAST(0.35 AS DOUBLE) * smaller""",
+    "shifted",
 )
 
 for _key, _kind in {
@@ -571,15 +575,12 @@ oracle(
 _PEOPLE = "type IN ('imię i nazwisko', 'nazwisko', 'nazwa')"
 oracle("detect_names", f"SELECT {LINE}, {PLAIN} FROM c_items WHERE {_PEOPLE}", "c_items")
 
-for _key, _line, _weights, _mod in (
-    ("pesel_valid", 0, P.PESEL_WEIGHTS, 10),
-    ("nip_valid", 1, P.NIP_WEIGHTS, 11),
-):
+for _key, _weights, _mod in (("pesel_valid", P.PESEL_WEIGHTS, 10), ("nip_valid", P.NIP_WEIGHTS, 11)):
     oracle(
         _key,
-        f"SELECT doc_id, number, {valid('number', _weights, _mod)} AS valid FROM "
-        f"(SELECT doc_id, string_split(text, ' ')[2] AS number FROM b_lines WHERE line_no = {_line})",
-        "b_lines",
+        f"""SELECT {LINE}, number, CASE WHEN len(number) = {len(_weights) + 1} THEN {valid('number', _weights, _mod)}
+            ELSE false END AS valid FROM (SELECT {LINE}, unnest(regexp_extract_all(text, '[0-9]+')) AS number FROM c_lines)""",
+        "c_lines",
     )
 oracle("digits_only", f"SELECT {LINE}, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM c_lines", "c_lines")
 oracle(
@@ -672,7 +673,8 @@ oracle(
     "o_lines",
 )
 oracle("label_above", f"SELECT {LINE}, above AS label FROM c_lines", "c_lines")
-oracle("analyze", f'SELECT {KEY}, start, "end", type, value, label, score, source, item_id, coalesce(CAST(date_value AS VARCHAR), '') AS date_value FROM c_items', "c_items")
+_ITEM = f'{KEY}, start, "end", type, value, label, score, source, item_id, CAST(date_value AS VARCHAR) AS date_value'
+oracle("analyze", f"SELECT {_ITEM} FROM c_items", "c_items")
 oracle("sort_items", f"SELECT {KEY}, {PLAIN} FROM c_items ORDER BY {KEY}, start", "c_items")
 oracle(
     "union_pages",
@@ -723,13 +725,16 @@ oracle(
     WHERE new_value NOT IN ('', value)""",
     "f_jobs",
 )
-cte(
-    "matched",
-    """SELECT i.*, arg_min(q.nowa, q.ord) AS new_value FROM f_items i JOIN first_entries q
-        ON q.k = CASE q.side WHEN 'l' THEN lower(trim(i.label)) ELSE trim(i.value) END GROUP BY ALL""",
-    "f_items", "first_entries",
-)
-oracle("match_mapping", f"SELECT {LINE}, start, type, value, label, new_value FROM matched", "matched")
+for _prefix in ("c", "f"):
+    cte(
+        f"{_prefix}_matched",
+        f"""SELECT * FROM (SELECT i.*,
+            CASE WHEN l.ord IS NULL OR v.ord < l.ord THEN v.nowa ELSE l.nowa END AS new_value FROM {_prefix}_items i
+            LEFT JOIN (SELECT * FROM first_entries WHERE side = 'l') l ON l.k = lower(trim(i.label))
+            LEFT JOIN (SELECT * FROM first_entries WHERE side = 'v') v ON v.k = trim(i.value)) WHERE new_value IS NOT NULL""",
+        f"{_prefix}_items", "first_entries",
+    )
+oracle("match_mapping", f"SELECT {LINE}, start, type, value, label, new_value FROM c_matched", "c_matched")
 oracle(
     "date_variants",
     f"""SELECT doc_id, date_key, count(*) AS n_items, array_to_string(list_sort(list(DISTINCT value)), ' | ') AS spellings
@@ -808,19 +813,47 @@ oracle(
     ),
     "c_raw", "c_lines", "c_items",
 )
-cte("f_rewritten", rewritten("f", f"SELECT {_JOB}, new_value FROM matched"), "f_raw", "f_lines", "matched")
-oracle("batch_apply", "SELECT * FROM f_rewritten", "f_rewritten")
+oracle(
+    "batch_apply",
+    rewritten("c", f"SELECT {_JOB}, new_value FROM c_matched"),
+    "c_raw", "c_lines", "c_matched",
+)
+oracle(
+    "batch_apply_report",
+    "SELECT doc_id, item_id, type, value AS old, new_value AS new, page, 'ok' AS status FROM c_matched",
+    "c_matched",
+)
+oracle(
+    "batch_apply_summary",
+    """SELECT doc_id, CASE WHEN bool_or(text IS NULL) THEN 'błąd: brak tekstu' ELSE 'ok' END AS status,
+        CASE WHEN bool_or(text IS NULL) THEN 0 ELSE coalesce(any_value(n), 0) END AS n_replaced FROM c_pages
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM c_matched GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""",
+    "c_pages", "c_matched",
+)
+# A label or value takes its new value from the first item that has it.
+oracle(
+    "mapping_round_trip",
+    """SELECT doc_id, 'ok' AS status, coalesce(n, 0) AS n_replaced FROM (SELECT DISTINCT doc_id FROM f_pages)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM f_items
+        WHERE lower(trim(label)) IN (SELECT lower(trim(label)) FROM f_jobs WHERE new_value <> '' AND trim(label) <> '')
+        OR trim(value) IN (SELECT trim(value) FROM f_jobs WHERE new_value <> '') GROUP BY doc_id) USING (doc_id)""",
+    "f_pages", "f_items", "f_jobs",
+)
+cte("r_pages", rewritten("f", f"SELECT {_JOB}, new_value FROM f_matched"), "f_raw", "f_lines", "f_matched")
 oracle(
     "verify_replacement",
-    """SELECT doc_id, page, CAST(count(*) AS INT) AS n_values, CAST(count(*) FILTER (WHERE contains(text, value)) AS INT) AS n_left,
-        CAST(count(*) FILTER (WHERE NOT contains(text, new_value)) AS INT) AS n_missing
-    FROM (SELECT DISTINCT doc_id, page, value, new_value FROM matched) JOIN f_rewritten USING (doc_id, page)
-    GROUP BY doc_id, page""",
-    "matched", "f_rewritten",
+    """SELECT doc_id, coalesce(n_values, 0) AS n_values, coalesce(n_left, 0) AS n_left, coalesce(n_missing, 0) AS n_missing,
+        coalesce(n_found, 0) AS n_found FROM (SELECT DISTINCT doc_id FROM r_pages)
+    LEFT JOIN (SELECT doc_id, count(*) AS n_values, count(*) FILTER (there) AS n_left, count(*) FILTER (NOT arrived) AS n_missing
+        FROM (SELECT doc_id, value, new_value, bool_or(contains(text, value)) AS there, bool_or(contains(text, new_value)) AS arrived
+            FROM (SELECT DISTINCT doc_id, value, new_value FROM f_matched) JOIN r_pages USING (doc_id) GROUP BY ALL)
+        GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n_found FROM r_items
+        SEMI JOIN (SELECT DISTINCT doc_id, value FROM f_matched) USING (doc_id, value) GROUP BY doc_id) USING (doc_id)""",
+    "r_pages", "r_items", "f_matched",
 )
 oracle(
     "stream_analyze",
-    f'SELECT {KEY}, start, "end", type, value, label, score, source, item_id, coalesce(CAST(date_value AS VARCHAR), '') AS date_value FROM c_items '
-    f"WHERE doc_id < {fx.DOC_RANGE}",
+    f"SELECT {_ITEM} FROM c_items WHERE doc_id < {_R['forms']} OR doc_id >= {_R['benchmark']}",
     "c_items",
 )

@@ -19,9 +19,10 @@ def write_report_json(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def mapping_rows(items: DataFrame) -> DataFrame:
-    """Items with a new value as mapping entries."""
+def mapping_rows(items: DataFrame, *more: str) -> DataFrame:
+    """Items with a new value as mapping entries; columns in ``more`` come first."""
     return items.filter("new_value <> ''").select(
+        *more,
         F.col("type").alias("typ"),
         F.col("label").alias("opis"),
         F.col("value").alias("stara"),
@@ -30,8 +31,15 @@ def mapping_rows(items: DataFrame) -> DataFrame:
 
 
 def write_mapping(items: DataFrame, path: str) -> None:
-    """A mapping of every item with a new value, as JSON Lines."""
-    mapping_rows(items).write.mode("overwrite").json(path)
+    """A mapping of every item with a new value, as JSON Lines, in reading order.
+
+    ``ord`` tells that order: items are dealt out by ranges and numbered inside each, so no task sees them all.
+    """
+    place = ["doc_id", "page", "line_no", "part_idx", "start"]
+    changed = written(items.filter("new_value <> ''"), "mapping-items")  # read twice: to find the ranges and to deal
+    ordered = changed.repartitionByRange(*place).sortWithinPartitions(*place)
+    numbered = ordered.withColumn("ord", F.monotonically_increasing_id())
+    mapping_rows(numbered, "ord").write.mode("overwrite").json(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

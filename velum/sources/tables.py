@@ -9,7 +9,7 @@ from velum.functions import patterns as P
 from velum.functions.sqlx import quoted
 
 MAPPING_ENTRY = "struct<typ:string,opis:string,stara:string,nowa:string>"
-MAPPING_SCHEMA = "ord int, typ string, opis string, stara string, nowa string"
+MAPPING_SCHEMA = "ord bigint, typ string, opis string, stara string, nowa string"
 
 
 def scan_documents(
@@ -49,28 +49,33 @@ def scan_file_set(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]")
 
 
 def scan_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """A mapping file, a JSON array of objects, as ``(ord, typ, opis, stara, nowa)``; ``ord`` is the array position.
+    """Mapping files, each a JSON array of objects, as ``(ord, typ, opis, stara, nowa)``; ``ord`` follows the arrays.
 
-    Entries that are no objects, or lack ``stara`` or ``nowa``, are left out. A byte order mark is tolerated.
+    Entries that are no objects, or lack ``stara`` or ``nowa``, are left out. A byte order mark is tolerated. A file
+    is one document and is read by one task: this is the form people keep by hand. A large mapping is a folder of
+    such files, or JSON Lines, see :func:`scan_mapping_lines`.
     """
     body = F.regexp_replace("value", "^\\uFEFF", "")
-    entry = F.from_json("entry", MAPPING_ENTRY)
     return (
         spark.read.text(path, wholetext=True)
-        .select(F.posexplode(F.from_json(body, "array<string>")).alias("ord", "entry"))
-        .select("ord", entry.alias("e"))
+        .select(F.explode(F.from_json(body, "array<string>")).alias("entry"))
+        .select(F.monotonically_increasing_id().alias("ord"), F.from_json("entry", MAPPING_ENTRY).alias("e"))
         .filter("e.stara IS NOT NULL AND e.nowa IS NOT NULL")
         .select("ord", *_mapping_columns("e."))
     )
 
 
 def scan_mapping_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A mapping written by :func:`velum.sources.sinks.write_mapping`, in JSON Lines: splittable, any size."""
+    """A mapping written by :func:`velum.sources.sinks.write_mapping`, in JSON Lines: splittable, any size.
+
+    An entry without ``ord`` is an error: without an order no entry is the first, and nothing would be replaced.
+    """
+    order = F.coalesce("ord", F.raise_error(F.lit("a mapping entry has no ord")).cast("bigint")).alias("ord")
     return (
         spark.read.schema(MAPPING_SCHEMA)
         .json(path)
         .filter("stara IS NOT NULL AND nowa IS NOT NULL")
-        .select("ord", *_mapping_columns(""))
+        .select(order, *_mapping_columns(""))
     )
 
 
