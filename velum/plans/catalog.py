@@ -216,8 +216,10 @@ def _(spark, sf_dir):
 
 @query("gap_to_next")
 def _(spark, sf_dir):
+    """Every seventh word is made tall, so that it stands beside words of the row below."""
     words = box_rows(spark, sf_dir).select(*layout.ROW, F.explode("spans").alias("s")).select(*layout.ROW, "s.*")
-    return layout.gap_to_next(words.drop("start", "end"), fx.PAGE_WIDTH)
+    tall = F.when((F.col("x0") + F.col("row_no")) % 7 == 0, F.col("y1") + 9).otherwise(F.col("y1"))
+    return layout.gap_to_next(words.drop("start", "end").withColumn("y1", tall), fx.PAGE_WIDTH)
 
 
 @query("overlap_pairs")

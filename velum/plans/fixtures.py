@@ -95,7 +95,7 @@ BARE_LINES = [
 
 def _page_sql(lines: list[str], kind: str, join: str) -> str:
     return (
-        f"SELECT {FIRST_DOC[kind]} + k AS doc_id, CAST(0 AS INT) AS page, {join.format(', '.join(lines))} AS text "
+        f"SELECT {FIRST_DOC[kind]} + k AS doc_id, CAST(k % 2 AS INT) AS page, {join.format(', '.join(lines))} AS text "
         "FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, o_totalprice FROM orders)"
     )
 

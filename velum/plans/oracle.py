@@ -514,17 +514,22 @@ oracle(
     "o_pieces",
 )
 oracle("item_bounds", f'SELECT {KEY}, start, "end", type, x0, y0, x1, y1 FROM o_boxed', "o_boxed")
+cte(
+    "o_tall",
+    """SELECT a.doc_id, a.page, r.row_no, a.x0, a.y0, a.x1, a.y1 + CASE WHEN (a.x0 + r.row_no) % 7 = 0 THEN 9 ELSE 0 END AS y1,
+        row_number() OVER () AS n
+    FROM o_words a JOIN o_rows r ON r.doc_id = a.doc_id AND r.page = a.page AND r.i = a.i""",
+    "o_words", "o_rows",
+)
 oracle(
     "gap_to_next",
     """SELECT doc_id, page, row_no, x0, y0, x1, y1,
         greatest(CAST(0 AS DOUBLE), least(CAST(593 AS DOUBLE), coalesce(nxt - 2, CAST(593 AS DOUBLE))) - x1) AS gap
-    FROM (SELECT a.doc_id, a.page, r.row_no, a.i, a.w, a.x0, a.y0, a.x1, a.y1, min(b.x0) AS nxt
-        FROM o_words a JOIN o_rows r ON r.doc_id = a.doc_id AND r.page = a.page AND r.i = a.i
-        LEFT JOIN (SELECT v.*, s.row_no FROM o_words v JOIN o_rows s ON s.doc_id = v.doc_id AND s.page = v.page AND s.i = v.i) b
-        ON b.doc_id = a.doc_id AND b.page = a.page AND b.row_no = r.row_no AND b.x0 > a.x1 - 1
+    FROM (SELECT a.*, min(b.x0) AS nxt FROM o_tall a LEFT JOIN o_tall b
+        ON b.doc_id = a.doc_id AND b.page = a.page AND b.x0 > a.x1 - 1 AND b.y1 >= a.y0 + 1 AND b.y0 <= a.y1 - 1
         GROUP BY ALL)""",
-    "o_words", "o_rows",
-)
+    "o_tall",
+)
 cte(
     "shifted",
     """SELECT doc_id, page, item_id, x0, y0 - 6 * (len(value) % 3) AS y0, x1, y1 + 6 * (len(value) % 3) AS y1
