@@ -393,7 +393,8 @@ def _(spark, sf_dir):
 
 @query("date_value")
 def _(spark, sf_dir):
-    return corpus_dates(spark, sf_dir).select(*LINE, "start", "value", day_text().alias("date_value"))
+    day = F.col("date.date").cast("string").alias("date_value")
+    return corpus_dates(spark, sf_dir).select(*LINE, "start", "value", day)
 
 
 @query("date_key")

@@ -621,7 +621,7 @@ oracle(
     FROM c_dates""",
     "c_dates",
 )
-oracle("date_value", f"SELECT {LINE}, s AS start, value, coalesce(CAST(date_value AS VARCHAR), '') AS date_value FROM c_dates", "c_dates")
+oracle("date_value", f"SELECT {LINE}, s AS start, value, CAST(date_value AS VARCHAR) AS date_value FROM c_dates", "c_dates")
 _DATE_KEY = """CASE WHEN date_value IS NOT NULL THEN 'd:' || CAST(date_value AS VARCHAR)
     WHEN y > 0 AND m > 0 THEN 'm:' || y || '-' || m WHEN y > 0 THEN 'y:' || y END"""
 oracle("date_key", f"SELECT {LINE}, s AS start, value, {_DATE_KEY} AS date_key FROM c_dates", "c_dates")
