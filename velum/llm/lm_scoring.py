@@ -200,6 +200,7 @@ def learn(docs: DataFrame) -> Models:
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Scores of all documents; ``targets`` has the doc_id of each target document."""
     chosen = targets.select(F.col("doc_id").cast("long").alias("_target")).filter("_target IS NOT NULL").distinct()
+    chosen = chosen.hint("merge")  # target documents grow with the corpus: never broadcast
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     flagged = rows.join(chosen, F.col("doc_id") == F.col("_target"), "left").select(
         "doc_id", F.col("_target").isNotNull().alias("is_target"), "text"
