@@ -116,12 +116,15 @@ def training_sample(docs: DataFrame) -> DataFrame:
     usable = docs.filter(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     ).withColumn("at", F.xxhash64("doc_id", "text"))
-    counts = usable.groupBy("lang").count().count()
-    each = max(1, min(PER_LANGUAGE, TRAIN // max(1, counts)))
-    ranked = usable.select("lang", "at").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
-    last = ranked.filter(F.col("rank") <= each).groupBy("lang").agg(F.max("at").alias("last")).collect()
-    if not last:
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row per language
+    if not counts:
         return usable.limit(0).select("lang", "at", F.lit(b"").alias("bits"))
+    each = max(1, min(PER_LANGUAGE, TRAIN // len(counts)))
+    # The lowest hashes are wanted: below twice the share that should do, only few rows are left to be ranked.
+    below = {x: int(min(2**63 - 1, -(2**63) + 2**64 * 2 * each / n)) for x, n in counts.items()}
+    near = usable.filter(F.col("at") <= F.create_map(*[F.lit(v) for pair in below.items() for v in pair])[F.col("lang")])
+    ranked = near.select("lang", "at").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
+    last = ranked.filter(F.col("rank") <= each).groupBy("lang").agg(F.max("at").alias("last")).collect()
     upto = F.create_map(*[F.lit(x) for row in last for x in (row["lang"], row["last"])])
     chosen = usable.filter(F.col("at") <= upto[F.col("lang")]).select("lang", "at", "text")
     return chosen.mapInArrow(_packed, "lang string, at long, bits binary")
