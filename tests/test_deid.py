@@ -12,6 +12,7 @@ from velum.operators.lines import analyze
 from velum.sources import sinks, tables
 from velum.streaming.stream import stream_analyze, stream_documents
 
+# Fixed golden values: a document and its seven changes.
 INVOICE = """\
 Nr: FV/2024/01/15
 

@@ -23,7 +23,7 @@ def classify_number(low: str, token: str, digits: str) -> str:
             THEN {typed('kwota', 0.9)}
         WHEN {n} = 11 AND contains({low}, 'pesel') THEN {typed('PESEL', 0.98)}
         WHEN {n} = 11 THEN IF({pesel_check(digits)}, {typed('PESEL', 0.85)}, {typed('numer', 0.35)})
-        WHEN {n} = 10 AND {has(['nip', 'podatk'])} THEN {typed('NIP', 0.97)}
+        WHEN {n} = 10 AND {has(P.TAX_LABELS)} THEN {typed('NIP', 0.97)}
         WHEN {n} = 10 THEN IF({nip_check(digits)}, {typed('NIP', 0.85)}, {typed('numer', 0.35)})
         WHEN {n} = 9 AND contains({low}, 'regon') THEN {typed('REGON', 0.95)}
         WHEN {n} = 26 THEN {typed('nr konta', 0.95)}
