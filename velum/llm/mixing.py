@@ -7,7 +7,7 @@ aggregation over the histogram (source, size), which is counted once; no text an
 
 Rates become whole copies on the histogram: the copies of all sizes up to a size follow the running sum of the rates, so
 the words of a source miss their target by less than the largest document. Of several starting points of that running
-sum the one that comes nearest is taken. Within a size, documents get their copies in the order of a hash of the doc_id;
+sum, and of several other orders of the sizes, the one that comes nearest is taken. Within a size, documents get their copies in the order of a hash of the doc_id;
 ranks are counted in parts (:func:`velum.llm.common.rank_within`), so one source or size may hold any share of the rows.
 
 Only tables with a row per source or per (source, size) are ordered as a whole; sizes are bounded by the longest text.
@@ -28,7 +28,9 @@ from velum.llm.common import match, rank_within, words_of
 from velum.sources.sinks import written
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-STEPS, TOLERANCE, OFFSETS = 40, 1e-7, 32
+#: Orders of the sizes and starting points of the running sum that are tried.
+ORDERS, OFFSETS = 8, 32
+STEPS, TOLERANCE = 40, 1e-7
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -112,10 +114,15 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, cap: int = CAP) -> Dat
 def size_copies(histogram: DataFrame, targets: DataFrame, tilts: DataFrame, cap: int = CAP) -> DataFrame:
     """``(source, size, n, rate, copies)``: all copies of the documents of one source and size."""
     tilted = match(histogram, tilts, ["source"]).withColumn("rate", _rate(cap))
-    upto = Window.partitionBy("source").orderBy("size")
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
+    place = F.when(F.col("seed") == 0, F.col("size")).otherwise(F.xxhash64("seed", "size"))
+    upto = Window.partitionBy("source", "seed").orderBy("place", "size")
     running = F.sum(F.col("n") * F.col("rate")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
     summed = written(
-        tilted.withColumn("upto", running).withColumn("before", F.coalesce(F.lag("upto").over(upto), F.lit(0.0))),
+        tilted.withColumn("seed", seeds)
+        .withColumn("place", place)
+        .withColumn("upto", running)
+        .withColumn("before", F.coalesce(F.lag("upto").over(upto), F.lit(0.0))),
         "mixing-running",
     )
 
@@ -126,14 +133,17 @@ def size_copies(histogram: DataFrame, targets: DataFrame, tilts: DataFrame, cap:
     offsets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(OFFSETS - 1)), lambda j: (j + 0.5) / OFFSETS))
     words = (
         summed.withColumn("offset", offsets)
-        .groupBy("source", "offset")
+        .groupBy("source", "seed", "offset")
         .agg(F.sum(whole(F.col("offset")) * F.col("size")).alias("words"))
     )
     miss = F.abs(F.col("words") - F.col("target"))
-    best = match(words, targets.select("source", "target"), ["source"], "inner").groupBy("source").agg(
-        F.min(F.struct(miss.alias("miss"), F.col("offset"))).alias("best")
+    best = match(words, targets.filter("source_size > 0").select("source", "target"), ["source"], "inner").groupBy("source").agg(
+        F.min(F.struct(miss.alias("miss"), "seed", "offset")).alias("best")
     )
-    chosen = match(summed, best.select("source", F.col("best.offset").alias("offset")), ["source"])
+    # A source without words has no target and no best: its documents are copied once whatever the order.
+    nothing = targets.filter("source_size = 0").select("source", F.lit(0).alias("seed"), F.lit(0.5).alias("offset"))
+    taken = best.select("source", "best.seed", "best.offset").union(nothing)
+    chosen = match(summed, taken, ["source", "seed"], "inner")
     return chosen.select("source", "size", "n", "rate", whole(F.col("offset")).alias("size_copies"))
 
 
