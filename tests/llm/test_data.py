@@ -195,6 +195,20 @@ def test_lm_scores(spark, docs, hairy, empty):
     assert lm_scoring.cross_entropy_difference(docs, labels.limit(0)).count() == len(hairy)
 
 
+@pytest.mark.parametrize("words, pairs", [(0, 0), (5, 300), (1000, 5)])
+def test_lm_scores_use_every_count(spark, docs, hairy, monkeypatch, words, pairs):
+    """However few words and pairs are sent to the tasks, all count."""
+    monkeypatch.setattr(lm_scoring, "WORDS", words, raising=False)
+    monkeypatch.setattr(lm_scoring, "PAIRS", pairs)
+    ids = [r[0] for r in hairy if r[0] is not None and r[0] % 3 == 0]
+    labels = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = Counter(
+        (r["doc_id"], r["n_tokens"], *[None if x is None else round(x, 9) for x in (r["ce_target"], r["ce_background"])])
+        for r in lm_scoring.cross_entropy_difference(docs, labels).collect()
+    )
+    assert got == Counter(plain_scores([(r[0], r[1]) for r in hairy], set(ids)))
+
+
 def test_lm_models_keep_the_most_frequent(spark):
     rows = spark.createDataFrame([(f"w{i}", n, 0) for i, n in enumerate([5, 1, 1, 1, 9, 5, 2])], "word string, n long, n_target long")
     kept = {most: sorted(lm_scoring.most_frequent(rows, most)["n"].to_pylist()) for most in (0, 1, 2, 4, 6, 7)}

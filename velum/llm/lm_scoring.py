@@ -4,12 +4,13 @@ Two bigram models are matched in all but their counts: one vocabulary, one set o
 model counts the target documents, the background model all documents. A text's score is the mean over its words of the
 loss under the target model minus the loss under the background model; the lower, the nearer to the target.
 
-All words and word pairs of all documents are counted exactly; each task sums up its own texts before anything is shuffled,
-and what is shuffled grows with the corpus. The models keep the words and pairs of the highest counts: all those with a
-count from which on there are at most ``VOCABULARY`` words and ``PAIRS`` pairs. Other words are one unknown word, other
-pairs count as unseen in both models. So the models have a bounded size however large the corpus is, and can be sent to
-every task; texts are scored where they are read. A model that has counted a text would know it by heart: the text's own
-counts are taken off before it is scored.
+All words and word pairs of all documents are counted exactly, told apart by 64-bit hashes; the tables grow with the corpus.
+A model that has counted a text would know it by heart: the text's own counts are taken off before it is scored. So what
+has been counted once and no more is worth nothing to any text, and the tables keep what was counted at least twice. Texts
+meet the counts in two ways with the same result. The ``WORDS`` and ``PAIRS`` most frequent are sent to every task, which
+sums up the losses it can tell where the text is read. Each other pair of a text is a row that is joined with the tables,
+and the losses come back to the text as sums. No task gets a large share of those rows: they are joined by what is none of
+the most frequent.
 
     P(w | v) = (count(v w) + STRENGTH * P(w)) / (count(v .) + STRENGTH),  P(w) = (count(w) + 1) / (words + types)
 
@@ -20,159 +21,220 @@ nothing and all its words are alike; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velum.sources.sinks import written
 
-VOCABULARY, PAIRS, STRENGTH = 1 << 16, 1 << 20, 8.0
-#: Distinct words, and pairs, that a task sums up before it passes them on.
-PART, PAIR_PART = 300_000, 2_000_000
-SCORED = "doc_id long, n_tokens long, ce_target double, ce_background double, score double"
+#: Words and pairs that are sent to every task; how many changes no result.
+WORDS, PAIRS, STRENGTH = 1 << 19, 1 << 20, 8.0
+#: Words of the texts that a task sums up, or scores, at once, and distinct words it remembers.
+PAIR_PART, SCORE_PART, REMEMBERED = 2_000_000, 200_000, 500_000
+#: The word before a text's first; no hash of a word is negative.
+START = -1
+COUNTED = "is_word boolean, key long, n long, n_target long, begins long, begins_target long"
+PARTIAL = (
+    "row long, doc_id long, n_tokens int, is_target boolean, pair long, times int, own_word int, own_before int, "
+    "word long, word_n long, word_n_target long, before long, before_n long, before_n_target long, "
+    "ce_target double, ce_background double"
+)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every, target = Counter(), Counter()
-
-    def out():
-        words = list(every)
-        batch = pa.RecordBatch.from_arrays(
-            [
-                pa.array(words, pa.binary()).cast(pa.string()),
-                pa.array([every[w] for w in words], pa.int64()),
-                pa.array([target[w] for w in words], pa.int64()),
-            ],
-            ["word", "n", "n_target"],
-        )
-        every.clear()
-        target.clear()
-        return batch
-
-    for batch in batches:
-        for is_target, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-            words = words_of(text.as_py())
-            every.update(words)
-            if is_target:
-                target.update(words)
-            if len(every) > PART:
-                yield out()
-    if every:
-        yield out()
+class Words:
+    """Numbers of a task's words in order of their appearance, from 1; 0 stands before a text."""
 
+    def __init__(self):
+        self.forget()
 
-@dataclass
-class Vocabulary:
-    """Ids of the known words from 1; 0 is the unknown word, ``len(every)`` the start of a text."""
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = defaultdict()
+        self.known.default_factory = lambda: len(self.known) + 1
+        self.keys = np.array([START])
 
-    words: list[str]
-    every: np.ndarray  # counts by id, the unknown word's first
-    target: np.ndarray
+    def numbers(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.known.__getitem__, words), "i8", len(words))
 
-    def ids(self) -> dict[bytes, int]:
-        return {w.encode(): i for i, w in enumerate(self.words, 1)}
+    def hashes(self) -> np.ndarray:
+        """The hash of each word by its number."""
+        done = len(self.keys) - 1
+        if done < len(self.known):
+            new = list(self.known)[done:]
+            found = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in new), "i8", len(new))
+            self.keys = np.concatenate([self.keys, found])
+        return self.keys
 
 
-def pairs(text: str | None, ids: dict[bytes, int], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the words, of the words before them, and numbers of both together."""
-    get = ids.get
-    words = np.array([get(w, 0) for w in words_of(text)], "i8")
-    before = np.r_[start, words[:-1]] if len(words) else words
-    return words, before, before * (start + 1) + words
-
-
-def _pair_counts(vocabulary):
-    def out(every: list[np.ndarray], target: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(every), return_counts=True)
+def parts(batches: Iterator[pa.RecordBatch], words: Words, most: int):
+    """Texts in parts of about ``most`` words: the rows without the texts, and the words of each text."""
+    rows, texts, size = [], [], 0
+    for batch in batches:
+        for *row, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1]):
+            numbers = words.numbers(text.as_py())
+            rows.append(row)
+            texts.append(numbers)
+            size += len(numbers)
+            if size > most:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+                if len(words.known) > REMEMBERED:
+                    words.forget()
+    if rows:
+        yield rows, texts
+
+
+def befores(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts together the words, the words before them, and the number of the text."""
+    sizes = np.array([len(t) for t in texts])
+    word = np.concatenate(texts)
+    before = np.concatenate([[0], word[:-1]]) if len(word) else word
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return word, before, np.repeat(np.arange(len(texts)), sizes)
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from the hashes of both words."""
+    x = before.astype("u8") * np.uint64(0x9E3779B97F4A7C15) + word.astype("u8")
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).astype("i8")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs, and words with how often a pair begins with them."""
+    words = Words()
+    for rows, texts in parts(batches, words, PAIR_PART):
+        word, before, text = befores(texts)
+        chosen = np.array([r[0] for r in rows])[text]
+        span = len(words.known) + 1
+        pair = before * span + word
+        found, n = np.unique(pair, return_counts=True)
+        own, m = np.unique(pair[chosen], return_counts=True)
         n_target = np.zeros(len(found), "i8")
-        if target:
-            own, m = np.unique(np.concatenate(target), return_counts=True)
-            n_target[np.searchsorted(found, own)] = m
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array(n.astype("i8")), pa.array(n_target)], ["pair", "n", "n_target"]
-        )
+        n_target[np.searchsorted(found, own)] = m
+        single = [np.bincount(x, minlength=span) for x in (word, word[chosen], before, before[chosen])]
+        used = np.flatnonzero(single[0] + single[2])
+        keys, none = words.hashes(), np.zeros(len(found), "i8")
+        columns = [
+            np.repeat([True, False], [len(used), len(found)]),
+            np.concatenate([keys[used], pair_keys(keys[found // span], keys[found % span])]),
+            *(np.concatenate([x[used], y]) for x, y in zip(single, (n, n_target, none, none))),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in COUNTED.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, start = vocabulary.value.ids(), len(vocabulary.value.every)
-        every, target, size = [], [], 0
-        for batch in batches:
-            for is_target, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                pair = pairs(text.as_py(), ids, start)[2]
-                every.append(pair)
-                size += len(pair)
-                if is_target:
-                    target.append(pair)
-                if size > PAIR_PART:
-                    yield out(every, target)
-                    every, target, size = [], [], 0
-        if every:
-            yield out(every, target)
 
-    return run
+class Frequent:
+    """Counts of the most frequent words and pairs; ``start`` has how many texts begin, all and target ones."""
 
+    def __init__(self, words: pa.Table, pairs: pa.Table, start: tuple[int, int]):
+        words, pairs = words.sort_by("key"), pairs.sort_by("key")
+        self.words = np.r_[START, words.column("key").to_numpy()].astype("i8")
+        first = {"begins": start[0], "begins_target": start[1]}
+        # A last row of zeros is for what is not found.
+        self.word_counts = [
+            np.r_[first.get(c, 0), words.column(c).to_numpy(), 0].astype("i8") for c in ("n", "n_target", "begins", "begins_target")
+        ]
+        self.pairs = pairs.column("key").to_numpy()
+        self.pair_counts = [np.r_[pairs.column(c).to_numpy(), 0].astype("i8") for c in ("n", "n_target")]
 
-class Models:
-    """Both models: for each the counts of words, of known pairs, and of the known pairs that begin with a word."""
 
-    def __init__(self, vocabulary: Vocabulary, known: np.ndarray, every: np.ndarray, target: np.ndarray):
-        self.vocabulary, self.known = vocabulary, known
-        start = len(vocabulary.every)
-        self.parts = [
-            (words, n, np.bincount(known // (start + 1), n, start + 1))
-            for words, n in ((vocabulary.target, target), (vocabulary.every, every))
-        ]
+def places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of ``x`` is among the sorted ``known``, or their number if it is not."""
+    at = np.searchsorted(known, x)
+    there = np.zeros(len(x), bool)
+    inside = at < len(known)
+    there[inside] = known[at[inside]] == x[inside]
+    return np.where(there, at, len(known))
 
-    def losses(self, words, before, pair, is_target: bool) -> tuple[float, float]:
-        """Mean loss per word under the target and the background model, the text's own counts taken off both."""
-        place = np.minimum(np.searchsorted(self.known, pair), max(len(self.known) - 1, 0))
-        there = self.known[place] == pair if len(self.known) else np.zeros(len(pair), bool)
-        own = times(words), times(pair) * there, times(before, there)
-        out = []
-        for (single, counts, begun), learned in zip(self.parts, (is_target, True)):
-            word_n, pair_n, before_n = own if learned else (0, 0, 0)
-            total = single.sum() - (len(words) if learned else 0) + len(single)
-            seen = (counts[place] if len(counts) else 0) * there - pair_n
-            p = (seen + STRENGTH * (single[words] - word_n + 1) / total) / (begun[before] - before_n + STRENGTH)
-            out.append(float(-np.log(p).mean()))
-        return out[0], out[1]
-
-
-def times(x: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
-    """How often each element occurs, or how often where ``counted``."""
-    _, place = np.unique(x, return_inverse=True)
-    return np.bincount(place, counted)[place]
 
+def _partial(frequent, totals: tuple[int, int], types: int, more_words: bool, more_pairs: bool):
+    """One row per text with the losses that can be told here, and one for each other pair of the text.
+
+    ``more_words`` and ``more_pairs`` tell whether there are others than the frequent ones.
+    """
 
-def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Models = models.value
-        ids, start = m.vocabulary.ids(), len(m.vocabulary.every)
-        for batch in batches:
-            n, ce = [], []
-            for is_target, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                words, before, pair = pairs(text.as_py(), ids, start)
-                n.append(len(words))
-                t, b = m.losses(words, before, pair, is_target) if len(words) else (None, None)
-                ce.append((t, b, None if t is None else t - b))
-            columns = [pa.array([x[i] for x in ce], pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *columns],
-                ["doc_id", "n_tokens", "ce_target", "ce_background", "score"],
-            )
+        known: Frequent = frequent.value
+        words = Words()
+        for rows, texts in parts(batches, words, SCORE_PART):
+            word, before, text = befores(texts)
+            keys, span = words.hashes(), len(words.known) + 1
+            used = np.unique(np.r_[0, word])
+            word_at = np.zeros(span, "i8")
+            word_at[used] = places(known.words, keys[used])
+            pairs, number = np.unique(before * span + word, return_inverse=True)
+            pair = pair_keys(keys[pairs // span], keys[pairs % span])
+            pair_at = places(known.pairs, pair)
+            # Distinct pairs of each text from here on.
+            many = max(len(pairs), 1)
+            place, times = np.unique(text * many + number, return_counts=True)
+            text, number = place // many, place % many
+            before, word = pairs[number] // span, pairs[number] % span
+            own_word, own_before = (summed(text * span + x, times) for x in (word, before))
+            pair, pair_at = pair[number], pair_at[number]
+            single = [c[word_at[word]] for c in known.word_counts[:2]]
+            begun = [c[word_at[before]] for c in known.word_counts[2:]]
+            rare_word, rare_before = (more_words & (word_at[x] == len(known.words)) for x in (word, before))
+            left = rare_word | rare_before | (more_pairs & (pair_at == len(known.pairs)))
+            ids = np.array([r[0] for r in rows], "i8")
+            sizes = np.array([len(t) for t in texts])
+            targets = np.array([r[2] for r in rows])
+            here = ~left
+            t, k = text[here], times[here]
+            sums = []
+            for model, learned in ((1, targets[t]), (0, np.ones(len(t), bool))):
+                total = totals[model] - sizes[t] * learned + types
+                # What was counted once is not kept: it has nothing left when its own count is taken off.
+                p = STRENGTH * (np.maximum(single[model][here] - own_word[here] * learned, 0) + 1) / total
+                p += np.maximum(known.pair_counts[model][pair_at[here]] - k * learned, 0)
+                loss = -k * np.log(p / (np.maximum(begun[model][here] - own_before[here] * learned, 0) + STRENGTH))
+                sums.append(np.bincount(t, loss, len(rows)))
+            t = text[left]
+            none = np.zeros(len(rows), "i8")
+            away = -2 - ids  # finds nothing, and is dealt out as the texts are
+            made = {
+                "row": [ids, ids[t]],
+                "n_tokens": [sizes, sizes[t]],
+                "is_target": [targets, targets[t]],
+                "pair": [away, pair[left]],
+                "times": [none, times[left]],
+                "own_word": [none, own_word[left]],
+                "own_before": [none, own_before[left]],
+                "word": [away, np.where(rare_word, keys[word], away[text])[left]],
+                "word_n": [none, single[0][left]],
+                "word_n_target": [none, single[1][left]],
+                "before": [away, np.where(rare_before, keys[before], away[text])[left]],
+                "before_n": [none, begun[0][left]],
+                "before_n_target": [none, begun[1][left]],
+                "ce_target": [sums[0], np.zeros(len(t))],
+                "ce_background": [sums[1], np.zeros(len(t))],
+            }
+            made = {c: pa.array(np.concatenate(x)) for c, x in made.items()}
+            for c in ("n_tokens", "times", "own_word", "own_before"):
+                made[c] = made[c].cast(pa.int32())
+            made["doc_id"] = pa.array([r[1] for r in rows] + [None] * len(t), pa.int64())
+            order = [c.split()[0] for c in PARTIAL.split(", ")]
+            yield pa.RecordBatch.from_arrays([made[c] for c in order], order)
 
     return run
 
 
+def summed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each element the sum of ``n`` over all elements equal to it."""
+    _, place = np.unique(x, return_inverse=True)
+    return np.bincount(place, n).astype("i8")[place] if len(x) else place
+
+
 def most_frequent(counts: DataFrame, most: int) -> pa.Table:
     """The rows with the highest ``n``: all from the least count on at which they are no more than ``most``."""
     by_count = counts.groupBy("n").agg(F.count("*").alias("rows"))
@@ -181,20 +243,38 @@ def most_frequent(counts: DataFrame, most: int) -> pa.Table:
     return counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
 
 
-def learn(docs: DataFrame) -> Models:
-    """Both models from ``(doc_id, is_target, text)``; two passes over all texts."""
-    sums = [F.sum("n").alias("n"), F.sum("n_target").alias("n_target")]
-    counts = docs.mapInArrow(_word_counts, "word string, n long, n_target long").groupBy("word").agg(*sums)
-    counts = written(counts, "lm-words")
-    frequent = most_frequent(counts, VOCABULARY).sort_by("word")
-    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")]).first()
-    every, target = (np.r_[0, frequent.column(c).to_numpy()].astype("i8") for c in ("n", "n_target"))
-    every[0], target[0] = total[0] - every.sum(), total[1] - target.sum()
-    vocabulary = Vocabulary(frequent.column("word").to_pylist(), every, target)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    both = docs.mapInArrow(_pair_counts(shared), "pair long, n long, n_target long").groupBy("pair").agg(*sums)
-    known = most_frequent(written(both, "lm-pairs"), PAIRS).sort_by("pair")
-    return Models(vocabulary, *[known.column(c).to_numpy() for c in ("pair", "n", "n_target")])
+def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Words and pairs counted at least twice, with the counts of both models, and the sums over all words."""
+    sums = [F.sum(c).alias(c) for c in ("n", "n_target", "begins", "begins_target")]
+    counted = docs.select("is_target", "text").mapInArrow(_counts, COUNTED).groupBy("is_word", "key").agg(*sums)
+    counted = written(counted.filter("is_word OR n > 1"), "lm-counts")
+    words, pairs = counted.filter("is_word").drop("is_word"), counted.filter("NOT is_word").select("key", "n", "n_target")
+    start = F.col("key") == START
+    total = words.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")],
+        *[F.coalesce(F.sum(F.when(start, F.col(c))), F.lit(0)).alias(c) for c in ("begins", "begins_target")],
+        F.count(F.when(~start, 1)).alias("types"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("kept_words"),
+    ).first()
+    return words.filter("n > 1"), pairs, total.asDict()
+
+
+def loss(suffix: str, total: int, types: int, learned: Column) -> Column:
+    """Loss of all occurrences of a pair in a text, the text's own counts taken off if the model has ``learned`` it."""
+
+    def less(n: Column, own: str) -> Column:
+        return F.greatest(n - F.when(learned, F.col(own)).otherwise(0), F.lit(0))
+
+    single = STRENGTH * (less(F.col(f"word_n{suffix}"), "own_word") + 1) / (less(F.lit(total), "n_tokens") + types)
+    p = less(F.coalesce(f"pair_n{suffix}", F.lit(0)), "times") + single
+    return -F.col("times") * F.log(p / (less(F.col(f"before_n{suffix}"), "own_before") + STRENGTH))
+
+
+def looked_up(rows: DataFrame, words: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Rows with the counts of their rare words."""
+    found = words.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in counts])
+    given = {f"{key}_{n}": F.coalesce(f"_{c}", f"{key}_{n}") for n, c in zip(("n", "n_target"), counts)}
+    return rows.join(found, rows[key] == F.col("_key"), "left").withColumns(given).drop("_key", *[f"_{c}" for c in counts])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -205,9 +285,32 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     flagged = rows.join(chosen, F.col("doc_id") == F.col("_target"), "left").select(
         "doc_id", F.col("_target").isNotNull().alias("is_target"), "text"
     )
-    flagged = written(flagged, "lm-documents")
-    models = docs.sparkSession.sparkContext.broadcast(learn(flagged))
-    return flagged.mapInArrow(_score(models), SCORED)
+    flagged = written(flagged.withColumn("row", F.monotonically_increasing_id()), "lm-documents")
+    words, pairs, total = learn(flagged)
+    totals, types = (total["n"], total["n_target"]), total["types"] + 1
+    known = Frequent(most_frequent(words, WORDS), most_frequent(pairs, PAIRS), (total["begins"], total["begins_target"]))
+    more_words, more_pairs = total["kept_words"] > len(known.words) - 1, pairs.count() > len(known.pairs)
+    frequent = docs.sparkSession.sparkContext.broadcast(known)
+    texts = flagged.select("row", "doc_id", "is_target", "text")
+    met = texts.mapInArrow(_partial(frequent, totals, types, more_words, more_pairs), PARTIAL)
+    if more_words:
+        met = looked_up(met, words, "word", ["n", "n_target"])
+        met = looked_up(met, words, "before", ["begins", "begins_target"])
+    found = pairs.select(F.col("key").alias("_key"), F.col("n").alias("pair_n"), F.col("n_target").alias("pair_n_target"))
+    met = met.join(found, F.col("pair") == F.col("_key"), "left")
+    losses = {
+        "ce_target": loss("_target", totals[1], types, F.col("is_target")),
+        "ce_background": loss("", totals[0], types, F.lit(True)),
+    }
+    summed_up = (
+        met.select(
+            "row", "doc_id", "n_tokens", *[F.when(F.col("times") > 0, x).otherwise(F.col(c)).alias(c) for c, x in losses.items()]
+        )
+        .groupBy("row")
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").cast("long").alias("n_tokens"), *[F.sum(c).alias(c) for c in losses])
+    )
+    means = [F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c) for c in losses]
+    return summed_up.select("doc_id", "n_tokens", *means).withColumn("score", F.col("ce_target") - F.col("ce_background"))
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
