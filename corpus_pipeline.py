@@ -9,7 +9,7 @@ from velum.sources.sinks import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others stay with their whole texts."""
+    """Rejected documents go; the others lose the lines that too many documents of their host share."""
     return quality_rules.kept_documents(docs)
 
 

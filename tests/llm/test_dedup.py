@@ -39,6 +39,25 @@ def test_kept_documents_keep_columns_and_texts(docs, hairy):
     assert rows_of(kept, "doc_id", "text") <= Counter((r[0], r[1]) for r in hairy)
 
 
+def test_kept_documents_lose_the_frequent_lines(spark):
+    """In all texts of the host but the first; other hosts, rarer lines and lines without words stay."""
+    body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(60)]
+    rows = [(i, f"Home  Menu\n \n{body[i]}\n\n{'HOME menu ' if i % 2 else 'Imprint'}\n", "a") for i in range(50)]
+    rows += [(i, f"Home Menu\n{body[i]}", "b") for i in range(50, 60)]
+    rows += [(3, rows[3][1], "a"), (None, rows[4][1], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+    def left(i, text, source):
+        if source == "b" or i == 0:
+            return text
+        # The first text keeps both lines; an imprint stands in 25 texts of this host.
+        gone = ("home menu", "imprint")
+        return "\n".join(x for x in text.split("\n") if " ".join(x.lower().split()) not in gone)
+
+    got = rows_of(quality_rules.kept_documents(docs), "doc_id", "text", "source")
+    assert got == Counter((i, left(i, t, s), s) for i, t, s in rows)
+
+
 def test_line_dedup(docs, hairy, empty):
     done = line_dedup.deduplicated(docs)
     expected = [(r[0], kept if n else r[1]) for r, (_, n, kept) in zip(hairy, brute.line_dedup([x[:2] for x in hairy]))]

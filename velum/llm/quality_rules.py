@@ -130,27 +130,24 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, max_docs: int = MAX_DOCS,
     )
 
 
-def quality_rules(
-    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
-) -> DataFrame:
-    """Counts and verdict per document: ``n_removed_words`` stand in removed lines, ``kept`` is the verdict."""
+def _verdicts(docs: DataFrame, max_docs: int, max_share: float, min_left: float, places: bool) -> DataFrame:
+    """Counts and verdicts with ``source`` and ``text_key``; if asked for, ``gone``: the places of removed lines.
+
+    Places count the lines that have a word, from 0; they are null where no line is removed.
+    """
+    keys = ["doc_id", "source", "text_key"]
     base = written(measured(docs.select("doc_id", "source", "text")), "quality-base")
-    lines = base.select("doc_id", "source", "text_key", F.explode("lines").alias("line")).select(
-        "doc_id", "source", "text_key", "line.*"
-    )
+    lines = base.select(*keys, F.posexplode("lines").alias("place", "line")).select(*keys, "place", "line.*")
     hosts = base.groupBy("source").agg(F.count("*").alias("host_docs"))
     frequent = written(frequent_lines(lines, hosts, max_docs, max_share), "quality-frequent")
     found = match(lines, frequent, ["source", "line_key"], "inner").filter("holder <> text_key")
     # Rows that repeat a doc_id and its text would be summed up together; the rows are therefore counted as well.
-    removed = found.groupBy("doc_id", "source", "text_key").agg(F.sum("line_words").alias("sum_words"))
-    rows = match(
-        base.drop("lines"),
-        removed,
-        ["doc_id", "source", "text_key"],
-    )
-    times = base.groupBy("doc_id", "source", "text_key").agg(F.count("*").alias("times")).filter("times > 1")
-    rows = match(rows, times, ["doc_id", "source", "text_key"])
-    gone = F.coalesce(F.expr("sum_words div coalesce(times, 1)"), F.lit(0))
+    gone = [F.sort_array(F.collect_set("place")).alias("gone")] if places else []
+    removed = found.groupBy(*keys).agg(F.sum("line_words").alias("sum_words"), *gone)
+    rows = match(base.drop("lines"), removed, keys)
+    times = base.groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1")
+    rows = match(rows, times, keys)
+    n_gone = F.coalesce(F.expr("sum_words div coalesce(times, 1)"), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.select(
         "doc_id",
@@ -160,24 +157,53 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (F.col("n_words") - gone >= min_left * F.col("n_words"))).alias("kept"),
-        gone.alias("n_removed_words"),
+        (~failed & (F.col("n_words") - n_gone >= min_left * F.col("n_words"))).alias("kept"),
+        n_gone.alias("n_removed_words"),
         "text_key",
+        "source",
+        *(["gone"] if places else []),
     )
 
 
+def quality_rules(
+    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """Counts and verdict per document: ``n_removed_words`` stand in removed lines, ``kept`` is the verdict."""
+    return _verdicts(docs, max_docs, max_share, min_left, False).drop("source")
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).drop("text_key")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns and whole texts."""
-    good = quality_rules(docs).filter("kept").select(
-        F.col("doc_id").alias("_velum_doc"), F.col("text_key").alias("_velum_key")
-    ).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_velum_doc")) & (text_key(F.col("text")) == F.col("_velum_key"))
-    return docs.join(good, on, "left_semi")
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the places ``gone``: what lies between two of them is taken as a whole."""
+    lines = F.split(text, "\n", -1)
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
+    cuts = F.transform(gone, lambda i: F.get(worded, i))
+    starts = F.concat(F.array(F.lit(-1)), cuts)
+    ends = F.concat(cuts, F.array(F.size(lines)))
+    between = F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    return F.array_join(F.flatten(between), "\n")
+
+
+def kept_documents(
+    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT
+) -> DataFrame:
+    """The documents that pass, with their columns and their texts without the removed lines."""
+    good = _verdicts(docs, max_docs, max_share, min_left, True).filter("kept")
+    good = good.dropDuplicates(["doc_id", "source", "text_key"]).select(
+        *[F.col(c).alias(f"_velum_{c}") for c in ("doc_id", "source", "text_key", "gone")]
+    )
+    on = (
+        F.col("doc_id").eqNullSafe(F.col("_velum_doc_id"))
+        & F.col("source").eqNullSafe(F.col("_velum_source"))
+        & (text_key(F.col("text")) == F.col("_velum_text_key"))
+    )
+    gone = F.col("_velum_gone")
+    text = F.when(gone.isNull(), F.col("text")).otherwise(_without(F.col("text"), gone))
+    return docs.join(good, on).withColumn("text", text).select(*docs.columns)
 
 
 ORACLE_SQL = rf"""
