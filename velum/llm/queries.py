@@ -10,6 +10,7 @@ from velum.llm import (
     packing,
     quality_rules,
     simhash,
+    source_audit,
     substring_dedup,
     topk,
     warc,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_source_audit": source_audit.op11_source_audit,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
@@ -33,4 +35,5 @@ ORACLES = {
     "op4_warc": warc.ORACLE_SQL,
     "op6_topk_search": topk.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_source_audit": source_audit.ORACLE_SQL,
 }
