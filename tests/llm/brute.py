@@ -1,6 +1,7 @@
 """The contracts of the operators, written out plainly for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -123,3 +124,93 @@ def components(prints, bits=2):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
+
+
+def source_audit(rows, min_docs, top):
+    """Rows of the audit for (text, lang, source)."""
+    counts, groups, in_docs = defaultdict(Counter), set(), defaultdict(Counter)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text or ""))
+        counts[lang, source].update(terms)
+        in_docs[lang].update(set(terms))
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [t for t, n in in_docs[lang].items() if n >= min_docs]
+        sources = [s for g, s in groups if g == lang]
+        whole = Counter()
+        for s in sources:
+            whole.update({t: counts[lang, s][t] for t in kept})
+
+        def shares(c):
+            total = sum(c[t] for t in kept) + 5 * len(kept)
+            return {t: 1 + 10**9 * (c[t] + 5) // total for t in kept}
+
+        q = shares(whole)
+        p = {s: shares(counts[lang, s]) for s in sources}
+        for s in sources:
+            pairs = [(o, sum(abs(p[s][t] - p[o][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, p[s][t] - q[t]) for t in kept if counts[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                for rank, (item, value) in enumerate(found, 1):
+                    if part == "pair" or rank <= top:
+                        out.append((lang, s, part, item, value, rank))
+    return out
+
+
+ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def secret_scan(rows):
+    """Rows of the scan for (doc_id, text)."""
+
+    def spans(text, kind, pattern, least, group=0):
+        hits = [m for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        return [(m.start(), m.end(), kind, m[group]) for m in hits]
+
+    rules = {"assign": (ASSIGN, 6, 2), "access": ("AKIA[A-Z0-9]+", 20, 0), "hex": ("[0-9a-f]+", 24, 0)}
+    base, runs, samples = [], [], {}
+    for _, text in rows:
+        rest = text or ""
+        base.append([s for k, (p, n, g) in rules.items() for s in spans(text or "", k, p, n, g)])
+        for k in ("hex", "access", "assign"):
+            for s, e, _, _ in spans(rest, k, *rules[k]):
+                rest = rest[:s] + " " * (e - s) + rest[e:]
+        every = spans(rest, "markov", "[A-Za-z0-9+/_=-]+", 12)
+        runs.append([r for r in every if len(r[3]) >= 16 and re.search("[0-9]", r[3]) and re.search("[A-Za-z]", r[3])])
+        for r in every:
+            if r not in runs[-1]:
+                samples.setdefault(r[3], False)
+    for found in base:
+        samples |= {r[3]: True for r in found}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    n = {True: Counter(), False: Counter()}
+    for value, secret in samples.items():
+        for a, b in zip(" " + value, value):
+            n[secret][a, b] += 1
+
+    single = {k: Counter() for k in n}
+    for k in n:
+        for (_, b), x in n[k].items():
+            single[k][b] += x
+
+    def ratio(value):
+        total = 0
+        for a, b in zip(" " + value, value):
+            p = []
+            for k in (True, False):
+                alone = (single[k][b] + 0.5) / (sum(single[k].values()) + 0.5 * len(letters))
+                p.append((n[k][a, b] + 16 * alone) / (sum(n[k][a, c] for c in letters) + 16))
+            total += round(1000 * (math.log(p[0]) - math.log(p[1])))
+        return total
+
+    out = []
+    for (doc_id, _), mine, more in zip(rows, base, runs):
+        more = [r for r in more if ratio(r[3]) >= max(10_000, 500 * len(r[3]))]
+        order = ["assign", "access", "hex", "markov"]
+        text = [",".join(f"{k}:{s}:{e}" for s, e, k, _ in sorted(x, key=lambda r: (r[0], order.index(r[2])))) for x in (mine, mine + more)]
+        counts = [sum(r[2] == k for r in mine) for k in order[:3]]
+        out.append((doc_id, *counts, sha256(text[0]), text[1], len(more)))
+    return out

@@ -9,6 +9,7 @@ from velum.llm import (
     mixing,
     packing,
     quality_rules,
+    secret_scan,
     simhash,
     source_audit,
     substring_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_source_audit": source_audit.op11_source_audit,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
@@ -36,4 +38,5 @@ ORACLES = {
     "op6_topk_search": topk.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_source_audit": source_audit.ORACLE_SQL,
+    "op13_secret_scan": secret_scan.ORACLE_SQL,
 }
