@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from velum.llm import secret_scan, source_audit
+from velum.llm import secret_scan, source_audit, spelling
 
 from . import brute
 
@@ -87,3 +87,58 @@ def test_secret_scan(spark, docs, hairy, empty):
 def test_secret_scan_is_native(spark):
     plan = secret_scan.scanned(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+SPELLING = ("word", "form", "root", "n", "n_near", "form_n")
+
+
+def spelled(rng: random.Random, words: int) -> str:
+    out = []
+    for _ in range(words):
+        w = rng.choice(["analysis", "aaaaaa", "château", "letters", "better", "bitter", "ab" * 9, "longest" * 7])
+        if rng.random() < 0.5:
+            at, letter = rng.randrange(len(w)), rng.choice("abtà")
+            w = rng.choice([w[:at] + w[at + 1 :], w[:at] + letter + w[at:], w[:at] + letter + w[at + 1 :]])
+        out.append(w.title() if rng.random() < 0.1 else w)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("limit, chunk, step, held", [(1 << 21, 1 << 21, 1 << 20, 1_000_000), (40, 100, 9, 20)])
+def test_spelling_variants(spark, docs, hairy, empty, monkeypatch, limit, chunk, step, held):
+    for name, value in (("LIMIT", limit), ("CHUNK", chunk), ("STEP", step), ("HELD", held)):
+        monkeypatch.setattr(spelling, name, value)
+    rng = random.Random(9)
+    rows = [(i % 50, spelled(rng, 60)) for i in range(90)] + [(None, spelled(rng, 40)), (3, None), (4, "")]
+    rows += [(i, "chainaaa " * 5 + "chainaab " * 2 + "chainabb " * (i % 3 == 0)) for i in range(20)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter(brute.spelling(rows))
+    assert rows_of(spelling.spelling_variants(given), *SPELLING) == want
+    assert any(w[1] and w[2] != w[1] for w in want)  # some forms lead further
+    assert rows_of(spelling.spelling_variants(docs), *SPELLING) == Counter(brute.spelling([r[:2] for r in hairy]))
+    assert spelling.spelling_variants(empty).count() == 0
+
+
+@pytest.mark.parametrize("letters, longest", [("ab", 9), ("abcdefgh", 7)])
+def test_composition_accepts_each_near_pair_once(letters, longest):
+    rng = random.Random(longest)
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(5, longest + 1))).encode() for _ in range(400)})
+    keyed = sorted(
+        (spelling.state_key(w, m, a, b), w)
+        for w in words
+        for m in (len(w), len(w) - 1)
+        if m >= 5
+        for a, b in spelling.halves(0, m)
+    )
+    n = {w: rng.randrange(3, 9) for w in words}
+    found = spelling.near_words([k for k, _ in keyed], [w for _, w in keyed], np.array([n[w] for _, w in keyed]), 50)
+    got = Counter()
+    for row in found.to_pylist():
+        got[row["w"]] += row["n_near"]
+
+    def near(x, y):
+        if len(x) == len(y):
+            return sum(a != b for a, b in zip(x, y)) == 1
+        x, y = sorted((x, y), key=len)
+        return len(y) == len(x) + 1 and any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+    assert +got == +Counter({x: sum(near(x, y) for y in words) for x in words})

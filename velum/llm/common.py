@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN, -1), lambda w: w != "")
 
 
+def split_bytes(data: bytes, piece: int) -> Iterator[list[bytes]]:
+    """The words between spaces, those of about ``piece`` bytes at a time; no word is cut, however long."""
+    start = 0
+    while start < len(data):
+        end = data.rfind(b" ", start, start + piece) if start + piece < len(data) else len(data)
+        if end < start:
+            end = data.find(b" ", start)
+            end = len(data) if end < 0 else end
+        yield data[start:end].split()
+        start = end + 1
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that repeat a doc_id with another text."""
     return F.xxhash64(text)

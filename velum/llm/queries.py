@@ -12,6 +12,7 @@ from velum.llm import (
     secret_scan,
     simhash,
     source_audit,
+    spelling,
     substring_dedup,
     topk,
     warc,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_source_audit": source_audit.op11_source_audit,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 ORACLES = {

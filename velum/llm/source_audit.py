@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velum.llm.common import rank_within
+from velum.llm.common import rank_within, split_bytes
 from velum.sources.sinks import written
 
 MIN_DOCS, TOP_TERMS, PRIOR, SCALE = 30, 50, 5, 1_000_000_000
@@ -46,19 +46,6 @@ DISTANCE = "lang string, a long, b long, value long"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def terms_of(text: str) -> Iterator[list[bytes]]:
-    """The terms of a text, some at a time. A term is only cut where it is longer than a whole piece: then it is kept whole."""
-    data = text.encode().translate(_FOLD)
-    start = 0
-    while start < len(data):
-        end = data.rfind(b" ", start, start + PIECE) if start + PIECE < len(data) else len(data)
-        if end < start:
-            end = data.find(b" ", start)
-            end = len(data) if end < 0 else end
-        yield data[start:end].split()
-        start = end + 1
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term and group; each group also has one row without a term."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -77,7 +64,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[lang, source] = Counter(), Counter()
             all_, docs = held[lang, source]
             before, mine = len(all_), set()
-            for words in terms_of(text):
+            for words in split_bytes(text.encode().translate(_FOLD), PIECE):
                 all_.update(words)
                 mine.update(words)
             docs.update(mine)
