@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from velum.functions.patterns import NIP_WEIGHTS, PESEL_WEIGHTS
+from velum.functions.patterns import NIP_WEIGHTS, PESEL_WEIGHTS, SPACES
 from velum.functions.sqlx import let, quoted
 
 _DECIMALS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
@@ -18,6 +18,14 @@ def ascii_digits(text: str) -> str:
     return f"IF(octet_length({text}) = length({text}), {text}, translate({text}, {quoted(_FROM)}, {quoted(_TO)}))"
 
 
+def zero_digits(text: str) -> str:
+    """The shape of a text: every decimal digit of any script as 0, every space as a plain one."""
+    few, many = [c for c in SPACES if c < "\x80" and c != " "], [c for c in SPACES if c != " "]
+    plain = f"translate({text}, {quoted('123456789' + ''.join(few))}, {quoted('0' * 9 + ' ' * len(few))})"
+    full = f"translate({text}, {quoted('123456789' + _FROM + ''.join(many))}, {quoted('0' * (9 + len(_FROM)) + ' ' * len(many))})"
+    return f"IF(octet_length({text}) = length({text}), {plain}, {full})"
+
+
 def plain_digits(text: str) -> str:
     """The digits of a text, as 0–9."""
     return ascii_digits(digits_only(text))

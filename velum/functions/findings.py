@@ -2,6 +2,9 @@
 
 Inputs are the line's text and the two label candidates that come from its surroundings: ``row_left``, the part
 to the left on the same row, and ``above``, the nearest short row above. Everything else is inside the line.
+
+The work of a line grows with its length: a detector's pattern runs only where the line's shape allows a match, spans
+claim their text by sweeping over sorted places, and labels are judged by an index of the line (``velum.functions.labels``).
 """
 
 from __future__ import annotations
@@ -10,28 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions import patterns as P
-from velum.functions.checks import digits_only, nip_valid, pesel_valid, plain_digits
+from velum.functions.checks import digits_only, nip_valid, pesel_valid, plain_digits, zero_digits
 from velum.functions.classify import (
-    CONTEXT_KINDS,
-    NUMBER_KINDS,
     capped_score,
     finding_type,
-    number_type,
     strong_name,
 )
 from velum.functions.dates import DATE, plausible, read_date
-from velum.functions.labels import chosen_label, label_for, nearest_piece
+from velum.functions.labels import (
+    AROUND,
+    WHOLE,
+    around_entry,
+    attached,
+    clean_label,
+    cut_label,
+    holds,
+    index_of,
+    judged,
+)
 from velum.functions.spans import (
+    FEW_PAIRS,
     NONE,
     SPAN,
     claim_in_order,
+    counts_below,
+    in_blocks,
     is_free,
     joined,
     matches,
     pieces,
     positions,
     searchable,
-    value_at,
 )
 from velum.functions.sqlx import contains_any, let, quoted
 
@@ -55,82 +67,115 @@ PATTERNS = {
     "phone": P.PHONE,
     "number": P.NUMBER,
 }
-WORDS = "array<struct<s:int,e:int,x:int,w:string,colon:boolean>>"
-FINDING = f"struct<start:int,end:int,type:string,value:string,date:{DATE}>"
+WORDS = "array<struct<s:int,e:int,x:int,w:string,v:string,colon:boolean>>"
+FINDING = f"struct<start:int,end:int,kind:string,type:string,value:string,score:double,date:{DATE},why:int,p:int,before:boolean>"
 MIN_NUMBER_DIGITS = 3
 MIN_NAME_CHARS = 3
 
-# Cheap tests on the whole line, so that a detector's pattern runs only where it can match at all.
-_HAS_DIGIT = quoted(r"(?U)\d")
-_MAY_HOLD = {
-    "symbol": quoted("[-/][A-Z0-9]"),
-    "d-month-y": quoted(r"(?U)\d\s+\p{L}{3}"),
-    "month-y": quoted(r"(?U)\p{L}{3}\s+\d{4}"),
-    "ymd": quoted(r"(?U)\d[.\-/]\d"),
-    "dmy": quoted(r"(?U)\d[.\-/]\d"),
-    "groszy": quoted("/100"),
-    "postal": quoted(r"(?U)\d-\d{3}"),
-    "money": quoted(r"(?U)\d[.,]\d{2}"),
-    "percent": quoted("%"),
-    "account": quoted(r"(?U)\d{4}"),
-    "pesel": quoted(r"(?U)\d{11}"),
-    "nip": quoted(r"(?U)\d{10}"),
-}
+# The shape of a line is the line with every digit as 0 and every space as a plain one. A detector's pattern runs only
+# where the shape, or the shape without separators, holds what each of its matches has.
+_DENSE = quoted(" -.,")
+_NUMERIC_DATE = ("0.0", "0-0", "0/0")
+
+
+def _shows(text: str, *parts: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in parts) + ")"
+
+
+def _may_hold(kind: str, text: str, shape: str, dense: str) -> str:
+    if kind == "d-month-y":
+        return f"{_shows(shape, '0 ')} AND {text} RLIKE {quoted(r'(?U)\d\s+\p{L}{3}')}"
+    if kind == "month-y":
+        return f"{_shows(shape, ' 0000')} AND {text} RLIKE {quoted(r'(?U)\p{L}{3}\s+\d{4}')}"
+    if kind == "symbol":
+        return f"{_shows(shape, '-', '/')} AND {text} RLIKE '[A-Z0-9][-/][A-Z0-9]'"
+    return {
+        "groszy": _shows(shape, "/000"),
+        "ymd": _shows(shape, *_NUMERIC_DATE),
+        "dmy": _shows(shape, *_NUMERIC_DATE),
+        "account": _shows(dense, "0" * 26),
+        "pesel": _shows(shape, "0" * 11),
+        "nip": _shows(shape, "0" * 10),
+        "postal": _shows(shape, "0-000"),
+        "money": _shows(shape, ",00", ".00"),
+        "percent": _shows(shape, "%"),
+        "phone": _shows(dense, "0" * 9),
+        "number": _shows(dense, "0" * MIN_NUMBER_DIGITS),
+    }[kind]
+
+
+SHAPE = "struct<shape:string,dense:string>"
+
 
+def shape_of(text: str) -> str:
+    """The text's shape and its dense shape, from which separators of digits are left out."""
+    both = lambda shape: f"named_struct('shape', {shape}, 'dense', translate({shape}, {_DENSE}, ''))"
+    return let(zero_digits(text), both, SHAPE)
 
-def candidates(text: str, kind: str) -> str:
-    """Raw matches of one detector in a line."""
-    found = matches(text, PATTERNS[kind], kind)
-    return f"IF({text} RLIKE {_MAY_HOLD[kind]}, {found}, {NONE})" if kind in _MAY_HOLD else found
 
+def candidates(text: str, kind: str, shape: str | None = None) -> str:
+    """Raw matches of one detector in a line; ``shape`` is what :func:`shape_of` gives, if it is at hand."""
+    if shape is None:
+        return let(shape_of(text), lambda s: candidates(text, kind, s), SPAN)
+    gate = _may_hold(kind, text, f"{shape}.shape", f"{shape}.dense")
+    return f"IF({gate}, {matches(text, PATTERNS[kind], kind)}, {NONE})"
 
-def _explained(text: str, kind: str, row_left: str, above: str, valid) -> str:
+
+def _kept_by_label(text: str, kind: str, row_left: str, above: str, valid, found: str) -> str:
     """Matches kept for their check digit or because the label says what they are."""
-    label = label_for(f"substring({text}, 1, c.s)", row_left, above)
-    keep = f"{valid(value_at(text, 'c'))} OR contains(lower({label}), '{kind}')"
-    return f"filter({candidates(text, kind)}, c -> {keep})"
+    around = f"coalesce({row_left}, {above})"
+
+    def labelled(spans: str) -> str:
+        def kept(index: str) -> str:
+            says = (
+                f"CASE m.why WHEN {WHOLE} THEN element_at({index}, -1).{kind} <= m.s.s "
+                f"WHEN {AROUND} THEN contains(lower({around}), '{kind}') ELSE coalesce(m.e.{kind} <= m.s.s, false) END"
+            )
+            return f"transform(filter({attached(spans, index, around, [kind])}, m -> {valid('m.s.v')} OR {says}), m -> m.s)"
+
+        return let(index_of(text, {kind: "true"}), kept, SPAN)
+
+    return let(found, lambda f: f"IF(forall({f}, c -> {valid('c.v')}), {f}, {labelled(f)})", SPAN)
 
 
-def kept_candidates(text: str, kind: str, row_left: str, above: str) -> str:
+def kept_candidates(text: str, kind: str, row_left: str, above: str, shape: str | None = None) -> str:
     """Matches of one detector that pass its own test, before overlaps are looked at."""
+    found = candidates(text, kind, shape)
     if kind in DATE_PATTERNS:
-        return f"filter({candidates(text, kind)}, c -> {plausible(kind, value_at(text, 'c'))})"
+        return f"filter({found}, c -> {plausible(kind, 'c.v')})"
     if kind == "pesel":
-        return _explained(text, kind, row_left, above, pesel_valid)
+        return _kept_by_label(text, kind, row_left, above, pesel_valid, found)
     if kind == "nip":
-        return _explained(text, kind, row_left, above, nip_valid)
+        return _kept_by_label(text, kind, row_left, above, nip_valid, found)
     if kind == "number":
-        digits = f"length({digits_only(value_at(text, 'c'))})"
-        return f"filter({candidates(text, kind)}, c -> {digits} >= {MIN_NUMBER_DIGITS})"
-    return candidates(text, kind)
+        return f"filter({found}, c -> length(c.v) >= {MIN_NUMBER_DIGITS} AND length({digits_only('c.v')}) >= {MIN_NUMBER_DIGITS})"
+    return found
 
 
 def date_spans(text: str) -> str:
     """Dates of a line in all four spellings, overlaps settled in favour of the earlier spelling."""
-    groups = [kept_candidates(text, kind, "NULL", "NULL") for kind in DATE_PATTERNS]
-    return f"array_sort({claim_in_order(groups)}, (a, b) -> a.s - b.s)"
-
-
-def value_spans(text: str, row_left: str, above: str) -> str:
-    """Accepted spans of every detector but names, reservations included."""
-    return let(
-        f"{text} RLIKE {_HAS_DIGIT}",
-        lambda digit: claim_in_order(
-            [
-                kept_candidates(text, kind, row_left, above)
-                if kind == "symbol"
-                else f"IF({digit}, {kept_candidates(text, kind, row_left, above)}, {NONE})"
-                for kind in PATTERNS
-            ]
-        ),
-        SPAN,
-    )
+
+    def claimed(shape: str) -> str:
+        groups = [kept_candidates(text, kind, "NULL", "NULL", shape) for kind in DATE_PATTERNS]
+        return f"IF({_shows(f'{shape}.shape', '0')}, {claim_in_order(groups)}, {NONE})"
+
+    return let(shape_of(text), claimed, SPAN)
+
+
+def value_spans(text: str, row_left: str, above: str, shape: str) -> str:
+    """Accepted spans of every detector but names, reservations included, in order of their place."""
+    kept = {kind: kept_candidates(text, kind, row_left, above, shape) for kind in PATTERNS}
+    return f"IF({_shows(f'{shape}.shape', '0')}, {claim_in_order(list(kept.values()))}, {kept['symbol']})"
+
+
+_NAME_GATE = f"[{P.CAPITALS}][{P.SMALLS}]+(?:-[{P.CAPITALS}]|(?U:\\s)+[{P.CAPITALS}][{P.SMALLS}])"
 
 
 def name_words(text: str) -> str:
     """Capitalised words with the end of their extension by up to two more such words.
 
-    ``struct<s, e, x, w>``: start, end, extended end, the word. Words that can never start a name are left out.
+    ``struct<s, e, x, w, v>``: start, end, extended end, the word, the extended word. Words that can never start a name
+    are left out.
     """
     stop = ", ".join(map(quoted, P.STOP_WORDS))
 
@@ -138,16 +183,18 @@ def name_words(text: str) -> str:
         spaces = lambda i: f"coalesce(get({cut}, 2 * ({i}) + 2) RLIKE {quoted('(?U)^' + chr(92) + 's+' + chr(92) + 'z')}, false)"
 
         def extended(spans: str) -> str:
-            end = lambda i: f"get({spans}, {i}).e"
             more = (
-                f"CASE WHEN w.e - w.s <= 2 OR {end('i + 1')} IS NULL OR NOT {spaces('i')} THEN w.e "
-                f"WHEN {end('i + 2')} IS NULL OR NOT {spaces('i + 1')} THEN {end('i + 1')} ELSE {end('i + 2')} END"
+                f"CASE WHEN w.e - w.s <= 2 OR get({spans}, i + 1) IS NULL OR NOT {spaces('i')} THEN 0 "
+                f"WHEN get({spans}, i + 2) IS NULL OR NOT {spaces('i + 1')} THEN 1 ELSE 2 END"
             )
-            return (
-                f"filter(transform({spans}, (w, i) -> named_struct('s', w.s, 'e', w.e, 'x', {more}, "
-                f"'w', {cut}[2 * i + 1], 'colon', startswith({cut}[2 * i + 2], ':'))), "
-                f"w -> NOT w.colon AND lower(w.w) NOT IN ({stop}))"
+            made = let(
+                more,
+                lambda n: f"named_struct('s', w.s, 'e', w.e, 'x', {spans}[i + {n}].e, 'w', w.v, 'v', "
+                f"IF({n} = 0, w.v, array_join(slice({cut}, 2 * i + 2, 2 * {n} + 1), '')), "
+                f"'colon', startswith({cut}[2 * i + 2], ':'))",
+                WORDS[6:-1],
             )
+            return f"filter(transform({spans}, (w, i) -> {made}), w -> NOT w.colon AND lower(w.w) NOT IN ({stop}))"
 
         return let(positions(cut, "name"), extended, WORDS)
 
@@ -155,111 +202,178 @@ def name_words(text: str) -> str:
 
 
 def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
-    """Accepted name spans, given the spans other detectors took.
+    """Accepted name spans, given the spans other detectors took, sorted.
 
     An unexplained single word is no finding and claims nothing, so where no name label is in sight only
     runs of words and double-barrelled words are looked at.
     """
     surroundings = f"lower(concat_ws(' ', {text}, {row_left}, {above}))"
     label_in_sight = let(surroundings, lambda near: contains_any(near, P.NAME_LABELS), "boolean")
-    chosen = f"IF({is_free(taken, 'w.s', 'w.x')}, w.x, w.e)"
+    settle = lambda free: f"named_struct('s', w.s, 'e', IF({free}, w.x, w.e), 'k', 'name', 'v', IF({free}, w.v, w.w))"
+
+    def free_below(n: str, end: str) -> str:
+        return f"({n} = 0 OR {taken}[{n} - 1].e <= w.s)"
 
-    def pick(explained: str) -> str:
-        possible = (
-            f"filter({name_words(text)}, w -> (w.x > w.e OR contains(w.w, '-') OR {explained}) "
-            f"AND {is_free(taken, 'w.s', 'w.e')})"
+    def settled(words: str) -> str:
+        few = (
+            f"transform(filter({words}, w -> {is_free(taken, 'w.s', 'w.e')}), w -> {settle(is_free(taken, 'w.s', 'w.x'))})"
         )
-        settled = f"transform({possible}, w -> named_struct('k', 'name', 's', w.s, 'e', {chosen}))"
-        long_enough = f"filter({settled}, w -> w.e - w.s >= {MIN_NAME_CHARS})"
-        return (
-            f"aggregate({long_enough}, named_struct('last', 0, 'out', {NONE}), "
-            f"(n, w) -> IF(w.s < n.last, n, named_struct('last', w.e, 'out', {joined('n.out', 'array(w)')}))).out"
+        starts = f"transform({taken}, t -> t.s)"
+        swept = let(
+            f"named_struct('e', {counts_below(starts, f'transform({words}, w -> w.e)')}, "
+            f"'x', {counts_below(starts, f'transform({words}, w -> w.x)')})",
+            lambda n: f"flatten(transform({words}, (w, j) -> IF({free_below(f'{n}.e[j]', 'w.e')}, "
+            f"array({settle(free_below(f'{n}.x[j]', 'w.x'))}), {NONE})))",
+            SPAN,
         )
+        return f"IF(size({taken}) * size({words}) <= {FEW_PAIRS}, {few}, {swept})"
+
+    def claimed(possible: str) -> str:
+        return in_blocks(
+            possible, "0", "int", SPAN, lambda last: f"named_struct('last', {last}, 'out', {NONE})",
+            f"(n, w) -> IF(w.s < n.last, n, named_struct('last', w.e, 'out', {joined('n.out', 'array(w)')}))",
+            lambda done: f"{done}.last",
+        )
+
+    def pick(in_sight: str) -> str:
+        words = f"filter({name_words(text)}, w -> w.x > w.e OR contains(w.w, '-') OR {in_sight})"
+        spans = f"filter({let(words, settled, SPAN)}, w -> w.e - w.s >= {MIN_NAME_CHARS})"
+        chosen = let(spans, lambda s: f"IF(size({s}) <= 1, {s}, {claimed(s)})", SPAN)
+        return f"IF({in_sight} OR {text} RLIKE {quoted(_NAME_GATE)}, {chosen}, {NONE})"
 
     return let(label_in_sight, pick, SPAN)
 
 
-def accepted_spans(line: str, row_left: str = "CAST(NULL AS STRING)", above: str = "CAST(NULL AS STRING)") -> str:
-    """Every accepted span of a line: no two overlap. Reservations (amounts in words) are dropped at the end."""
+def accepted_spans(text: str, row_left: str, above: str, taken: str) -> str:
+    """Every accepted span of a line, sorted; no two overlap. Reservations (amounts in words) are dropped."""
+    return f"filter(sort_array({joined(taken, name_spans(text, row_left, above, taken))}), f -> f.k <> 'groszy')"
 
-    def both(text: str) -> str:
-        return let(
-            value_spans(text, row_left, above),
-            lambda taken: f"filter({joined(taken, name_spans(text, row_left, above, taken))}, f -> f.k <> 'groszy')",
-            SPAN,
-        )
 
-    return let(searchable(line), both, SPAN)
+_NUMBERS = ("money", "symbol", "percent", "phone", "number")
+_NEEDED = {
+    "amount": _NUMBERS, "pesel": _NUMBERS, "tax": _NUMBERS, "nip": _NUMBERS, "regon": _NUMBERS, "phone": _NUMBERS,
+    "number": _NUMBERS, "symbol": ("symbol",), "name": ("name",), "given": ("name",), "surname": ("name",),
+    "postal": ("postal",),
+}
+
 
+def _needed(spans: str) -> dict[str, str]:
+    """For each category of label words whether a line's spans ask for it."""
+    has = lambda kinds: f"exists({spans}, s -> s.k IN ({', '.join(map(quoted, kinds))}))"
+    return {category: has(kinds) for category, kinds in _NEEDED.items()}
 
-def described(line: str, span: str, row_left: str, above: str) -> str:
-    """A span's finding inside a lambda: position, type, value and date, without the label it is typed by."""
-    kind = f"{span}.k"
 
-    def typed(c: str) -> str:
-        number = number_type(kind, f"{c}.low", f"{c}.value", f"{c}.digits")
+def typed(met: str, index: str, around: str) -> str:
+    """Findings of attached spans, without labels: a line's labels together can be far longer than the line."""
+
+    def one(m: str) -> str:
+        digits = f"IF({m}.s.k IN {_NUMBERS}, {plain_digits(f'{m}.s.v')}, NULL)"
+        left = lambda category: f"element_at({index}, -1).{category} <= {m}.s.s"
+        street = f"coalesce({m}.x.street <= {m}.at, false)"
         return let(
-            number,
-            lambda n: let(
-                finding_type(kind, f"{c}.lft", f"{c}.left_low", f"{c}.value", f"{c}.label", f"{c}.low", n),
-                lambda f: f"named_struct('start', {span}.s, 'end', {span}.e, 'type', {f}.type, 'value', {c}.value, "
-                f"'date', {read_date(kind, f'{c}.value')})",
-                FINDING,
+            digits,
+            lambda d: let(
+                finding_type(f"{m}.s.k", f"{m}.s.v", d, lambda c: holds(m, c), left, street), lambda t: _finding(m, t), FINDING
             ),
             FINDING,
         )
 
-    def context(b: str) -> str:
-        whole = (
-            f"named_struct('lft', {b}.lft, 'left_low', IF({kind} IN {CONTEXT_KINDS}, lower({b}.lft), NULL), "
-            f"'value', {b}.value, 'digits', {plain_digits(f'{b}.value')}, 'label', {b}.label, 'low', lower({b}.label))"
-        )
-        return let(whole, typed, FINDING)
+    return f"transform({met}, m -> {let(judged('m', index, around), one, FINDING)})"
+
 
-    def labelled(left: str) -> str:
-        base = f"named_struct('lft', {left}, 'label', {label_for(left, row_left, above)}, 'value', {value_at(line, span)})"
-        return let(base, context, FINDING)
+def _finding(m: str, t: str) -> str:
+    date = f"IF({m}.s.k IN ('ymd', 'dmy', 'd-month-y', 'month-y'), {read_date(f'{m}.s.k', f'{m}.s.v')}, NULL)"
+    return (
+        f"named_struct('start', {m}.s.s, 'end', {m}.s.e, 'kind', {m}.s.k, 'type', {t}.type, 'value', {m}.s.v, "
+        f"'score', {t}.score, 'date', {date}, 'why', {m}.why, 'p', {m}.p, 'before', {t}.before)"
+    )
 
-    return let(f"substring({line}, 1, {span}.s)", labelled, FINDING)
 
+def all_spans(text: str, row_left: str, above: str, shape: str) -> dict[str, str]:
+    """Steps from a searchable line to its accepted spans."""
+    return {
+        "_taken": value_spans(text, row_left, above, shape),
+        "_spans": accepted_spans(text, row_left, above, "{_taken}"),
+    }
 
-def findings(line: str, row_left: str, above: str) -> str:
-    """All findings of a line as one array, in no particular order, for work that stays inside the row.
 
-    Labels are not kept: a line's labels together can be far longer than the line.
+def steps(line, spans=all_spans) -> dict[str, str]:
+    """The detector as named steps, each an expression over the line and the steps before it; ``_found`` is the last.
+
+    ``line`` gives the name of one of the line's fields ``text``, ``row_left`` and ``above``. Steps of other steps are
+    written ``{_name}``, for they are columns where a line is a row and elements of arrays where a page is. ``spans``
+    makes the steps up to ``_spans``. Nothing is nested deeper than a step, which keeps the analysis of plans short.
+    """
+    text, row_left, above = "{_text}", line("row_left"), line("above")
+    around = f"coalesce({row_left}, {above})"
+    needed = _needed("{_spans}")
+    return {
+        "_text": searchable(line("text")),
+        "_shape": shape_of(text),
+        **spans(text, row_left, above, "{_shape}"),
+        "_index": f"IF(size({{_spans}}) = 0, NULL, {index_of(text, needed)})",
+        "_met": f"IF(size({{_spans}}) = 0, NULL, {attached('{_spans}', '{_index}', around, needed)})",
+        "_around": around_entry("{_met}", around, needed),
+        "_found": f"IF({{_met}} IS NULL, CAST(array() AS array<{FINDING}>), {typed('{_met}', '{_index}', '{_around}')})",
+    }
+
+
+# Without names that nothing explains. Rows are made from this expression and not from the column of the last step: of a
+# column the optimizer infers that it is not empty, and would unfold all steps into that condition at the scan.
+EXPLAINED = f"filter({{}}, f -> f.type <> 'nazwa' OR {strong_name('f.value')})"
+
+
+def _filled(sql: str, known, name) -> str:
+    """The expression with the steps it uses named."""
+    for step in known:
+        sql = sql.replace("{" + step + "}", name(step))
+    return sql
+
+
+def with_steps(lines: DataFrame, spans=all_spans, last: str = "_found") -> DataFrame:
+    """Lines with ``text, row_left, above`` and the steps up to ``last`` as columns."""
+    known: list[str] = []
+    for name, sql in steps(lambda field: field, spans).items():
+        lines = lines.withColumn(name, F.expr(_filled(sql, known, lambda step: step)))
+        known.append(name)
+        if name == last:
+            break
+    return lines
+
+
+def page_findings(pages: DataFrame, lines: str) -> DataFrame:
+    """Pages with ``found``: all their findings as one array, each with its ``line_no``, in reading order.
+
+    ``lines`` is the expression of a page's lines, ``array<struct<line_no, text, above>>``. Each step is an array with an
+    element per line, so everything stays inside the page's row.
     """
-    return let(
-        accepted_spans(line, row_left, above),
-        lambda spans: f"filter(transform({spans}, s -> {described(line, 's', row_left, above)}), "
-        f"f -> f.type <> 'nazwa' OR {strong_name('f.value')})",
-        f"array<{FINDING}>",
+    known: list[str] = []
+    field = lambda name: "CAST(NULL AS STRING)" if name == "row_left" else f"l.{name}"
+    rows = pages.withColumn("_lines", F.expr(lines))
+    for name, sql in steps(field).items():
+        rows = rows.withColumn(name, F.expr(f"transform(_lines, (l, i) -> {_filled(sql, known, lambda step: f'{step}[i]')})"))
+        known.append(name)
+    found = (
+        f"flatten(transform(_lines, (l, i) -> transform({EXPLAINED.format('_found[i]')}, "
+        "f -> named_struct('line_no', l.line_no, 'f', f))))"
     )
+    return rows.withColumn("found", F.expr(found)).drop("_lines", *known)
 
 
-def describe(spans: DataFrame, keep: str = "true") -> DataFrame:
-    """Rows with a span ``s``, its line's ``text`` and label candidates to rows with type, label, score and date.
+def describe(lines: DataFrame, keep: list[str], spans=all_spans) -> DataFrame:
+    """Lines with ``text, row_left, above, source`` to one row per finding of their spans, with label, score and date.
 
-    The same rules as :func:`described`, but as columns: compiled, and one label in memory at a time. ``keep`` is a
-    condition on the finding ``x``. Findings leave through a one-element array: a filter on a type or label put on
-    the result is then applied to the finished finding, and the optimizer does not unfold all rules into it.
+    A line's findings are typed together; labels are cut out after they have become rows, so one is in memory at a time,
+    and only where they are asked for.
     """
-    rest = [c for c in spans.columns if c not in ("text", "row_left", "above", "s")]
-    finding = (
-        f"named_struct('type', f.type, 'value', value, 'label', f.label, 'score', {capped_score('f.score', 'source')}, "
-        f"'date', {read_date('kind', 'value')})"
+    rows = with_steps(lines.select(*keep, "source", "text", "row_left", "above"), spans).select(
+        *keep, "source", "text", "row_left", "above", F.explode(F.expr(EXPLAINED.format("_found"))).alias("f")
     )
-    return (
-        spans.selectExpr(
-            *rest, "row_left", "above", "s.k AS kind", "s.s AS start", "s.e AS end",
-            "substring(text, 1, s.s) AS lft", f"{value_at('text', 's')} AS value",
-        )
-        .withColumn("near", F.expr(nearest_piece("lft")))
-        .withColumn("label", F.expr(chosen_label("near", "lft", "row_left", "above")))
-        .withColumn("low", F.lower("label"))
-        .withColumn("left_low", F.expr(f"IF(kind IN {CONTEXT_KINDS}, lower(lft), NULL)"))
-        .withColumn("digits", F.expr(f"IF(kind IN {NUMBER_KINDS}, {plain_digits('value')}, NULL)"))
-        .withColumn("number", F.expr(number_type("kind", "low", "value", "digits")))
-        .withColumn("f", F.expr(finding_type("kind", "lft", "left_low", "value", "label", "low", "number")))
-        .select(*rest, "kind", "start", "end", F.explode(F.expr(f"filter(array({finding}), x -> {keep})")).alias("x"))
-        .select(*rest, "kind", "start", "end", "x.*")
+    label = cut_label("text", "f.start", "f.why", "f.p", "coalesce(row_left, above)")
+    window = "right(lower(substring(text, greatest(f.start - 104, 0) + 1, least(f.start, 104))), 40)"
+    label = f"IF(f.before, coalesce(nullif({clean_label(window)}, ''), {label}), {label})"
+    return rows.select(
+        *keep, "source", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"),
+        F.col("f.type").alias("type"), F.col("f.value").alias("value"), F.expr(label).alias("label"),
+        F.expr(capped_score("f.score", "source")).alias("score"), F.col("f.date").alias("date"),
     )

@@ -50,3 +50,7 @@ def trimmed(text: str, chars: str) -> str:
 
 def rtrimmed(text: str, chars: str) -> str:
     return f"trim(TRAILING {quoted(chars)} FROM {text})"
+
+
+def ltrimmed(text: str, chars: str) -> str:
+    return f"trim(LEADING {quoted(chars)} FROM {text})"

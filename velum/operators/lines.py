@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.functions import findings as fn
-from velum.functions.classify import strong_name
 from velum.functions.labels import offered_above
 from velum.functions.patterns import ROWS_ABOVE
 from velum.functions.sqlx import let
@@ -71,15 +70,11 @@ def analyze_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Findings of lines that carry ``text, row_left, above, source``; further columns in ``keep`` ride along.
 
     Narrow: one pass over the lines, whatever their number per document. Spans are settled inside the line, then
-    every span becomes a row and is labelled and typed there.
+    they are typed together, and every finding becomes a row and gets its label there.
     """
-    keys = ["doc_id", "page", "line_no", "part_idx", "source", *(keep or [])]
-    spans = F.expr(fn.accepted_spans("text", "row_left", "above"))
-    explained = f"x.type <> 'nazwa' OR {strong_name('x.value')}"
+    keys = ["doc_id", "page", "line_no", "part_idx", *(keep or [])]
     return (
-        fn.describe(lines.select(*keys, "text", "row_left", "above", F.explode(spans).alias("s")), explained)
-        .withColumn("item_id", item_id())
-        .select(*ITEM_COLUMNS, *(keep or []))
+        fn.describe(lines, keys).withColumn("item_id", item_id()).select(*ITEM_COLUMNS, *(keep or []))
     )
 
 

@@ -242,9 +242,12 @@ def _(spark, sf_dir):
 
 def detected(lines: DataFrame, kinds: list[str]) -> DataFrame:
     """Matches of single detectors that pass their own tests, described but not yet weighed against each other."""
-    groups = ", ".join(fn.kept_candidates("v", kind, "row_left", "above") for kind in kinds)
-    spans = F.expr(f"transform(array({searchable('text')}), v -> flatten(array({groups})))[0]")
-    return fn.describe(lines.select(*LINE, "source", "text", "row_left", "above", F.explode(spans).alias("s")))
+
+    def spans(text: str, row_left: str, above: str, shape: str) -> dict[str, str]:
+        groups = ", ".join(fn.kept_candidates(text, kind, row_left, above, shape) for kind in kinds)
+        return {"_spans": f"sort_array(flatten(array({groups})))"}
+
+    return fn.describe(lines, LINE, spans)
 
 
 def _detector(name: str, kinds: list[str], columns: list[str]):
@@ -467,7 +470,8 @@ def _(spark, sf_dir):
 
 @query("arbitrate")
 def _(spark, sf_dir):
-    return _span_rows(corpus_lines(spark, sf_dir), fn.value_spans("{t}", "row_left", "above"))
+    rows = fn.with_steps(corpus_lines(spark, sf_dir), last="_taken").select(*LINE, F.explode("_taken").alias("s"))
+    return rows.selectExpr(*LINE, "s.s AS start", "s.e AS end", "s.v AS value", "s.k AS kind")
 
 
 @query("analyze")
