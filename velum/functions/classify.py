@@ -5,7 +5,7 @@ from __future__ import annotations
 from velum.functions import patterns as P
 from velum.functions.checks import nip_check, pesel_check
 from velum.functions.labels import clean_label, label_holds
-from velum.functions.sqlx import let, quoted
+from velum.functions.sqlx import is_one_of, let, quoted
 
 
 def typed(kind: str, score) -> str:
@@ -109,7 +109,7 @@ def finding_type(kind: str, value: str, digits: str, has, left, street: str) ->
     )
     return f"""CASE
         WHEN {kind} = 'name' THEN {name_rules(value, has, left)}
-        WHEN {kind} IN ('ymd', 'dmy', 'd-month-y', 'month-y') THEN {fixed("'data'", date_score(kind))}
+        WHEN {is_one_of(kind, ('ymd', 'dmy', 'd-month-y', 'month-y'))} THEN {fixed("'data'", date_score(kind))}
         WHEN {kind} = 'account' THEN {fixed("'nr konta'", '0.95D')}
         WHEN {kind} = 'pesel' THEN {fixed("'PESEL'", '0.95D')}
         WHEN {kind} = 'nip' THEN {fixed("'NIP'", '0.95D')}

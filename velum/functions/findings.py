@@ -17,6 +17,7 @@ from velum.functions.checks import digits_only, nip_valid, pesel_valid, plain_di
 from velum.functions.classify import (
     capped_score,
     finding_type,
+    starts_with_street,
     strong_name,
 )
 from velum.functions.dates import DATE, plausible, read_date
@@ -30,6 +31,8 @@ from velum.functions.labels import (
     holds,
     index_of,
     judged,
+    label_for,
+    label_holds,
 )
 from velum.functions.spans import (
     FEW_PAIRS,
@@ -40,12 +43,12 @@ from velum.functions.spans import (
     in_blocks,
     is_free,
     joined,
-    matches,
     pieces,
     positions,
+    positions_of,
     searchable,
 )
-from velum.functions.sqlx import contains_any, let, quoted
+from velum.functions.sqlx import any_of, holds_any, is_one_of, let, quoted
 
 # Priority order of the detectors: an earlier one claims its text first.
 DATE_PATTERNS = {
@@ -68,7 +71,7 @@ PATTERNS = {
     "number": P.NUMBER,
 }
 WORDS = "array<struct<s:int,e:int,x:int,w:string,v:string,colon:boolean>>"
-FINDING = f"struct<start:int,end:int,kind:string,type:string,value:string,score:double,date:{DATE},why:int,p:int,before:boolean>"
+FINDING = f"struct<start:int,end:int,kind:string,type:string,value:string,score:double,date:{DATE},label:string,why:int,p:int,before:boolean>"
 MIN_NUMBER_DIGITS = 3
 MIN_NAME_CHARS = 3
 
@@ -113,59 +116,72 @@ def shape_of(text: str) -> str:
     return let(zero_digits(text), both, SHAPE)
 
 
-def candidates(text: str, kind: str, shape: str | None = None) -> str:
-    """Raw matches of one detector in a line; ``shape`` is what :func:`shape_of` gives, if it is at hand."""
-    if shape is None:
-        return let(shape_of(text), lambda s: candidates(text, kind, s), SPAN)
-    gate = _may_hold(kind, text, f"{shape}.shape", f"{shape}.dense")
-    return f"IF({gate}, {matches(text, PATTERNS[kind], kind)}, {NONE})"
+def candidates(text: str, kind: str) -> str:
+    """Raw matches of one detector in a line."""
+    return let(shape_of(text), lambda shape: f"flatten({groups_of(text, [kind], shape)})", SPAN)
 
 
-def _kept_by_label(text: str, kind: str, row_left: str, above: str, valid, found: str) -> str:
-    """Matches kept for their check digit or because the label says what they are."""
-    around = f"coalesce({row_left}, {above})"
+def groups_of(text: str, kinds, shape: str, row_left: str | None = None, above: str = "") -> str:
+    """The matches of several detectors, an array of spans for each one that has any, in the order given.
 
-    def labelled(spans: str) -> str:
-        def kept(index: str) -> str:
-            says = (
-                f"CASE m.why WHEN {WHOLE} THEN element_at({index}, -1).{kind} <= m.s.s "
-                f"WHEN {AROUND} THEN contains(lower({around}), '{kind}') ELSE coalesce(m.e.{kind} <= m.s.s, false) END"
-            )
-            return f"transform(filter({attached(spans, index, around, [kind])}, m -> {valid('m.s.v')} OR {says}), m -> m.s)"
+    With the labels' candidates given, only matches that pass their detector's own test are kept. The texts cut by all
+    detectors are walked by one expression: the plan is sent to every task and must stay small.
+    """
+    cut = lambda kind: f"IF({_may_hold(kind, text, f'{shape}.shape', f'{shape}.dense')}, {pieces(text, PATTERNS[kind])}, NULL)"
+    cuts = ", ".join(f"named_struct('k', {quoted(kind)}, 'cut', {cut(kind)})" for kind in kinds)
+    found = positions_of("x.cut", "x.k")
+    if row_left is not None:
+        found = let(found, lambda f: _kept(f, text, kinds, row_left, above), SPAN)
+    return f"transform(filter(array({cuts}), x -> size(x.cut) > 1), x -> {found})"
+
+
+def _kept(found: str, text: str, kinds, row_left: str, above: str) -> str:
+    """Matches of the detector ``x.k`` that pass its own test, before overlaps are looked at."""
+    tests = [f"WHEN '{kind}' THEN {plausible(kind, 'c.v')}" for kind in kinds if kind in DATE_PATTERNS]
+    if "number" in kinds:
+        tests.append(
+            f"WHEN 'number' THEN length(c.v) >= {MIN_NUMBER_DIGITS} AND length({digits_only('c.v')}) >= {MIN_NUMBER_DIGITS}"
+        )
+    kept = f"filter({found}, c -> CASE x.k {' '.join(tests)} ELSE true END)" if tests else found
+    checked = [kind for kind in ("pesel", "nip") if kind in kinds]
+    if not checked:
+        return kept
+    return f"IF({is_one_of('x.k', checked)}, {_kept_by_label(text, row_left, above, found)}, {kept})"
 
-        return let(index_of(text, {kind: "true"}), kept, SPAN)
 
-    return let(found, lambda f: f"IF(forall({f}, c -> {valid('c.v')}), {f}, {labelled(f)})", SPAN)
+def _kept_by_label(text: str, row_left: str, above: str, found: str) -> str:
+    """Matches kept for their check digit or because the label says what they are."""
+    around = f"coalesce({row_left}, {above})"
+    valid = lambda v: f"IF(x.k = 'pesel', {pesel_valid(v)}, {nip_valid(v)})"
+    kinds = ["pesel", "nip"]
+    ends = lambda entry: f"IF(x.k = 'pesel', {entry}.pesel, {entry}.nip)"
+
+    def kept(index: str) -> str:
+        says = (
+            f"CASE m.why WHEN {WHOLE} THEN {ends(f'element_at({index}, -1)')} <= m.s.s "
+            f"WHEN {AROUND} THEN contains(lower({around}), x.k) ELSE coalesce({ends('m.e')} <= m.s.s, false) END"
+        )
+        return f"transform(filter({attached(found, index, around, kinds)}, m -> {says} OR {valid('m.s.v')}), m -> m.s)"
 
+    labelled = let(index_of(text, {k: "true" for k in kinds}), kept, SPAN)
+    return f"IF(forall({found}, c -> {valid('c.v')}), {found}, {labelled})"
 
-def kept_candidates(text: str, kind: str, row_left: str, above: str, shape: str | None = None) -> str:
-    """Matches of one detector that pass its own test, before overlaps are looked at."""
-    found = candidates(text, kind, shape)
-    if kind in DATE_PATTERNS:
-        return f"filter({found}, c -> {plausible(kind, 'c.v')})"
-    if kind == "pesel":
-        return _kept_by_label(text, kind, row_left, above, pesel_valid, found)
-    if kind == "nip":
-        return _kept_by_label(text, kind, row_left, above, nip_valid, found)
-    if kind == "number":
-        return f"filter({found}, c -> length(c.v) >= {MIN_NUMBER_DIGITS} AND length({digits_only('c.v')}) >= {MIN_NUMBER_DIGITS})"
-    return found
+
+def kept_candidates(text: str, kinds: list[str], row_left: str, above: str, shape: str | None = None) -> str:
+    """Matches of some detectors that pass their own tests, before overlaps are looked at, sorted."""
+    if shape is None:
+        return let(shape_of(text), lambda s: kept_candidates(text, kinds, row_left, above, s), SPAN)
+    return f"sort_array(flatten({groups_of(text, kinds, shape, row_left, above)}))"
 
 
 def date_spans(text: str) -> str:
     """Dates of a line in all four spellings, overlaps settled in favour of the earlier spelling."""
-
-    def claimed(shape: str) -> str:
-        groups = [kept_candidates(text, kind, "NULL", "NULL", shape) for kind in DATE_PATTERNS]
-        return f"IF({_shows(f'{shape}.shape', '0')}, {claim_in_order(groups)}, {NONE})"
-
-    return let(shape_of(text), claimed, SPAN)
+    return let(shape_of(text), lambda shape: claim_in_order(groups_of(text, DATE_PATTERNS, shape, "NULL", "NULL")), SPAN)
 
 
 def value_spans(text: str, row_left: str, above: str, shape: str) -> str:
     """Accepted spans of every detector but names, reservations included, in order of their place."""
-    kept = {kind: kept_candidates(text, kind, row_left, above, shape) for kind in PATTERNS}
-    return f"IF({_shows(f'{shape}.shape', '0')}, {claim_in_order(list(kept.values()))}, {kept['symbol']})"
+    return claim_in_order(groups_of(text, PATTERNS, shape, row_left, above))
 
 
 _NAME_GATE = f"[{P.CAPITALS}][{P.SMALLS}]+(?:-[{P.CAPITALS}]|(?U:\\s)+[{P.CAPITALS}][{P.SMALLS}])"
@@ -177,7 +193,7 @@ def name_words(text: str) -> str:
     ``struct<s, e, x, w, v>``: start, end, extended end, the word, the extended word. Words that can never start a name
     are left out.
     """
-    stop = ", ".join(map(quoted, P.STOP_WORDS))
+    stop = quoted(f"^(?:{any_of(P.STOP_WORDS)})\\z")
 
     def words(cut: str) -> str:
         spaces = lambda i: f"coalesce(get({cut}, 2 * ({i}) + 2) RLIKE {quoted('(?U)^' + chr(92) + 's+' + chr(92) + 'z')}, false)"
@@ -194,7 +210,7 @@ def name_words(text: str) -> str:
                 f"'colon', startswith({cut}[2 * i + 2], ':'))",
                 WORDS[6:-1],
             )
-            return f"filter(transform({spans}, (w, i) -> {made}), w -> NOT w.colon AND lower(w.w) NOT IN ({stop}))"
+            return f"filter(transform({spans}, (w, i) -> {made}), w -> NOT w.colon AND NOT lower(w.w) RLIKE {stop})"
 
         return let(positions(cut, "name"), extended, WORDS)
 
@@ -208,7 +224,7 @@ def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
     runs of words and double-barrelled words are looked at.
     """
     surroundings = f"lower(concat_ws(' ', {text}, {row_left}, {above}))"
-    label_in_sight = let(surroundings, lambda near: contains_any(near, P.NAME_LABELS), "boolean")
+    label_in_sight = let(surroundings, lambda near: holds_any(near, P.NAME_LABELS), "boolean")
     settle = lambda free: f"named_struct('s', w.s, 'e', IF({free}, w.x, w.e), 'k', 'name', 'v', IF({free}, w.v, w.w))"
 
     def free_below(n: str, end: str) -> str:
@@ -241,7 +257,7 @@ def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
         chosen = let(spans, lambda s: f"IF(size({s}) <= 1, {s}, {claimed(s)})", SPAN)
         return f"IF({in_sight} OR {text} RLIKE {quoted(_NAME_GATE)}, {chosen}, {NONE})"
 
-    return let(label_in_sight, pick, SPAN)
+    return f"IF({text} RLIKE '[{P.CAPITALS}][{P.SMALLS}]', {let(label_in_sight, pick, SPAN)}, {NONE})"
 
 
 def accepted_spans(text: str, row_left: str, above: str, taken: str) -> str:
@@ -259,7 +275,7 @@ _NEEDED = {
 
 def _needed(spans: str) -> dict[str, str]:
     """For each category of label words whether a line's spans ask for it."""
-    has = lambda kinds: f"exists({spans}, s -> s.k IN ({', '.join(map(quoted, kinds))}))"
+    has = lambda kinds: f"exists({spans}, s -> {is_one_of('s.k', kinds)})"
     return {category: has(kinds) for category, kinds in _NEEDED.items()}
 
 
@@ -267,13 +283,13 @@ def typed(met: str, index: str, around: str) -> str:
     """Findings of attached spans, without labels: a line's labels together can be far longer than the line."""
 
     def one(m: str) -> str:
-        digits = f"IF({m}.s.k IN {_NUMBERS}, {plain_digits(f'{m}.s.v')}, NULL)"
+        digits = f"IF({is_one_of(f'{m}.s.k', _NUMBERS)}, {plain_digits(f'{m}.s.v')}, NULL)"
         left = lambda category: f"element_at({index}, -1).{category} <= {m}.s.s"
         street = f"coalesce({m}.x.street <= {m}.at, false)"
         return let(
             digits,
             lambda d: let(
-                finding_type(f"{m}.s.k", f"{m}.s.v", d, lambda c: holds(m, c), left, street), lambda t: _finding(m, t), FINDING
+                finding_type(f"{m}.s.k", f"{m}.s.v", d, lambda c: holds(m, c), left, street), lambda t: _finding(f"{m}.s", t, "CAST(NULL AS STRING)", f"{m}.why", f"{m}.p"), FINDING
             ),
             FINDING,
         )
@@ -281,14 +297,38 @@ def typed(met: str, index: str, around: str) -> str:
     return f"transform({met}, m -> {let(judged('m', index, around), one, FINDING)})"
 
 
-def _finding(m: str, t: str) -> str:
-    date = f"IF({m}.s.k IN ('ymd', 'dmy', 'd-month-y', 'month-y'), {read_date(f'{m}.s.k', f'{m}.s.v')}, NULL)"
+def _finding(s: str, t: str, label: str, why: str, p: str) -> str:
+    date = f"IF({is_one_of(f'{s}.k', DATE_PATTERNS)}, {read_date(f'{s}.k', f'{s}.v')}, NULL)"
     return (
-        f"named_struct('start', {m}.s.s, 'end', {m}.s.e, 'kind', {m}.s.k, 'type', {t}.type, 'value', {m}.s.v, "
-        f"'score', {t}.score, 'date', {date}, 'why', {m}.why, 'p', {m}.p, 'before', {t}.before)"
+        f"named_struct('start', {s}.s, 'end', {s}.e, 'kind', {s}.k, 'type', {t}.type, 'value', {s}.v, 'score', {t}.score, "
+        f"'date', {date}, 'label', {label}, 'why', {why}, 'p', {p}, 'before', {t}.before)"
     )
 
 
+#: Spans times characters of a line up to which each span's label is cut out and read instead of using the index.
+SHORT = 1 << 15
+
+
+def typed_short(spans: str, text: str, row_left: str, above: str) -> str:
+    """:func:`typed` with labels, for lines of which all labels together are short. The same rules on the labels."""
+
+    def labelled(left: str) -> str:
+        label = label_for(left, row_left, above)
+        whole = f"named_struct('left', {left}, 'label', {label})"
+        return let(whole, lambda c: let(f"lower({c}.label)", lambda low: judged_by(c, low), FINDING), FINDING)
+
+    def judged_by(c: str, low: str) -> str:
+        digits = f"IF({is_one_of('s.k', _NUMBERS)}, {plain_digits('s.v')}, NULL)"
+        left = lambda category: label_holds(f"lower({c}.left)", category)
+        rules = lambda d: finding_type("s.k", "s.v", d, lambda k: label_holds(low, k), left, starts_with_street(low))
+        before = f"coalesce(nullif({clean_label(f'right(lower({c}.left), 40)')}, ''), {c}.label)"
+
+        made = lambda t: _finding("s", t, f"IF({t}.before, {before}, {c}.label)", "CAST(NULL AS INT)", "CAST(NULL AS INT)")
+        return let(digits, lambda d: let(rules(d), made, FINDING), FINDING)
+
+    return f"transform({spans}, s -> {let(f'substring({text}, 1, s.s)', labelled, FINDING)})"
+
+
 def all_spans(text: str, row_left: str, above: str, shape: str) -> dict[str, str]:
     """Steps from a searchable line to its accepted spans."""
     return {
@@ -307,14 +347,16 @@ def steps(line, spans=all_spans) -> dict[str, str]:
     text, row_left, above = "{_text}", line("row_left"), line("above")
     around = f"coalesce({row_left}, {above})"
     needed = _needed("{_spans}")
+    long = f"size({{_spans}}) * length({text}) > {SHORT}"
     return {
         "_text": searchable(line("text")),
         "_shape": shape_of(text),
         **spans(text, row_left, above, "{_shape}"),
-        "_index": f"IF(size({{_spans}}) = 0, NULL, {index_of(text, needed)})",
-        "_met": f"IF(size({{_spans}}) = 0, NULL, {attached('{_spans}', '{_index}', around, needed)})",
-        "_around": around_entry("{_met}", around, needed),
-        "_found": f"IF({{_met}} IS NULL, CAST(array() AS array<{FINDING}>), {typed('{_met}', '{_index}', '{_around}')})",
+        "_index": f"IF({long}, {index_of(text, needed)}, NULL)",
+        "_met": f"IF({{_index}} IS NULL, NULL, {attached('{_spans}', '{_index}', around, needed)})",
+        "_around": f"IF({{_met}} IS NULL, NULL, {around_entry('{_met}', around, needed)})",
+        "_found": f"CASE WHEN size({{_spans}}) = 0 THEN CAST(array() AS array<{FINDING}>) WHEN {{_met}} IS NULL "
+        f"THEN {typed_short('{_spans}', line('text'), row_left, above)} ELSE {typed('{_met}', '{_index}', '{_around}')} END",
     }
 
 
@@ -371,7 +413,7 @@ def describe(lines: DataFrame, keep: list[str], spans=all_spans) -> DataFrame:
     )
     label = cut_label("text", "f.start", "f.why", "f.p", "coalesce(row_left, above)")
     window = "right(lower(substring(text, greatest(f.start - 104, 0) + 1, least(f.start, 104))), 40)"
-    label = f"IF(f.before, coalesce(nullif({clean_label(window)}, ''), {label}), {label})"
+    label = f"CASE WHEN f.label IS NOT NULL THEN f.label WHEN f.before THEN coalesce(nullif({clean_label(window)}, ''), {label}) ELSE {label} END"
     return rows.select(
         *keep, "source", F.col("f.kind").alias("kind"), F.col("f.start").alias("start"), F.col("f.end").alias("end"),
         F.col("f.type").alias("type"), F.col("f.value").alias("value"), F.expr(label).alias("label"),

@@ -37,11 +37,16 @@ def joined(*arrays: str) -> str:
 
 
 def span(kind: str, start: str, end: str, value: str) -> str:
-    return f"named_struct('s', {start}, 'e', {end}, 'k', {quoted(kind)}, 'v', {value})"
+    return f"named_struct('s', {start}, 'e', {end}, 'k', {kind}, 'v', {value})"
 
 
 def positions(cut: str, kind: str) -> str:
-    """Spans of the matches in an array made by :func:`pieces`: every second piece, with running lengths.
+    """Spans of the matches in an array made by :func:`pieces`."""
+    return positions_of(cut, quoted(kind))
+
+
+def positions_of(cut: str, kind: str) -> str:
+    """:func:`positions` for a kind given as an expression: every second piece, with running lengths.
 
     Most lines have no match or one, which need no walk over the pieces.
     """
@@ -113,7 +118,7 @@ def free_spans(taken: str, spans: str) -> str:
     return f"IF(size({taken}) * size({spans}) <= {FEW_PAIRS}, {few}, {swept})"
 
 
-def claim_in_order(groups: list[str]) -> str:
+def claim_in_order(groups: str) -> str:
     """Greedy claim: groups in priority order; a span is kept iff it overlaps none kept before it.
 
     Spans inside one group come from one pattern, sorted and without overlaps, so each group is weighed as a whole
@@ -121,6 +126,6 @@ def claim_in_order(groups: list[str]) -> str:
     """
     more = f"sort_array({joined('taken', free_spans('taken', 'spans'))})"
     return (
-        f"aggregate(array({', '.join(groups)}), {NONE}, (taken, spans) -> "
+        f"aggregate({groups}, {NONE}, (taken, spans) -> "
         f"CASE WHEN size(spans) = 0 THEN taken WHEN size(taken) = 0 THEN spans ELSE {more} END)"
     )

@@ -7,6 +7,7 @@ needed. Expressions that run inside a lambda are composed as SQL text: every fun
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
 _names = count()
@@ -54,3 +55,28 @@ def rtrimmed(text: str, chars: str) -> str:
 
 def ltrimmed(text: str, chars: str) -> str:
     return f"trim(LEADING {quoted(chars)} FROM {text})"
+
+
+def any_of(words) -> str:
+    """A pattern for any of the words that branches where they do: at most places of a text one look decides."""
+
+    def branch(rest: list[str]) -> str:
+        heads = sorted({w[0] for w in rest if w})
+        parts = [re.escape(h) + branch([w[1:] for w in rest if w[:1] == h]) for h in heads]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return body if all(rest) else f"(?:{body})?"
+
+    return branch(list(words))
+
+
+def holds_any(text: str, words) -> str:
+    """:func:`contains_any` in one pass. A word that holds another one adds nothing and is left out."""
+    words = list(dict.fromkeys(words))
+    return f"{text} RLIKE {quoted(any_of([w for w in words if not any(o != w and o in w for o in words)]))}"
+
+
+def is_one_of(text: str, words) -> str:
+    """Whether the text is one of a few plain words; inside a lambda ``IN`` looks at all of them."""
+    return f"contains({quoted(' ' + ' '.join(words) + ' ')}, concat(' ', {text}, ' '))"

@@ -244,8 +244,7 @@ def detected(lines: DataFrame, kinds: list[str]) -> DataFrame:
     """Matches of single detectors that pass their own tests, described but not yet weighed against each other."""
 
     def spans(text: str, row_left: str, above: str, shape: str) -> dict[str, str]:
-        groups = ", ".join(fn.kept_candidates(text, kind, row_left, above, shape) for kind in kinds)
-        return {"_spans": f"sort_array(flatten(array({groups})))"}
+        return {"_spans": fn.kept_candidates(text, kinds, row_left, above, shape)}
 
     return fn.describe(lines, LINE, spans)
 
@@ -438,7 +437,7 @@ def _(spark, sf_dir):
 
 
 def corpus_numbers(spark, sf_dir):
-    text = let(searchable("text"), lambda t: fn.kept_candidates(t, "number", "row_left", "above"))
+    text = let(searchable("text"), lambda t: fn.kept_candidates(t, ["number"], "row_left", "above"))
     rows = corpus_lines(spark, sf_dir).select(*LINE, "text", "row_left", "above", F.explode(F.expr(text)).alias("s"))
     return rows.selectExpr(*LINE, "s.s AS start", "substring(text, 1, s.s) AS lft", "row_left", "above")
 
