@@ -45,7 +45,7 @@ def quality_kept(rows, max_docs, max_share, min_left):
     def lines(text):
         return [tuple(w.lower() for w in words(x)) for x in (text or "").split("\n") if words(x)]
 
-    found, hosts = defaultdict(dict), Counter(s for _, _, s in rows)
+    found, hosts = defaultdict(dict), Counter(s for s, _ in {(s, t or "") for _, t, s in rows})
     for d, t, s in rows:
         for line in lines(t):
             key = (d is None, d or 0)

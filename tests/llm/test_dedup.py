@@ -27,6 +27,15 @@ def test_quality_rules(docs, hairy, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_copies_of_another_text_do_not_hide_a_frequent_line(spark):
+    body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    rows = [(i, f"Home Menu\n{b}", "a") for i, b in enumerate(body)]
+    rows += [(1_000 + i, "another text " + body[0], "a") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = rows_of(quality_rules.quality_rules(docs, 20, 0.1), "n_removed_words")
+    assert got == Counter({(2,): 39, (0,): 3_001})
+
+
 def test_many_repeated_windows_count_as_few_do(docs, monkeypatch):
     few = rows_of(quality_rules.measured(docs), "doc_id", "n_repeat_words")
     monkeypatch.setattr(quality_rules, "FEW", 0)

@@ -10,7 +10,8 @@ Everything is built-in expressions. The text is read once; what follows works on
 pre-aggregated before each shuffle, and the join that brings the frequent lines back reads them from a written table, so
 adaptive execution can split a host or line that holds a large share of the rows.
 
-Defined cases: a null or empty text has no words (``base_failed``); a null source is a host of its own; rows that
+Defined cases: a null or empty text has no words (``base_failed``) and both are one text; a text is read whole, however
+long; a null source is a host of its own; rows that
 repeat a doc_id are judged each by its own text; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -64,7 +65,7 @@ def measured(docs: DataFrame) -> DataFrame:
     split = docs.select(
         "doc_id",
         "source",
-        text_key(F.col("text")).alias("text_key"),
+        text_key(F.coalesce("text", F.lit(""))).alias("text_key"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
@@ -117,7 +118,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def frequent_lines(lines: DataFrame, hosts: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """Lines above the limits: ``(source, line_key, n_docs, holder)``, the holder being the text that keeps the line.
 
-    ``lines`` has one row per line, ``hosts`` the documents per source. Counted in two steps, both with partial sums:
+    ``lines`` has one row per line, ``hosts`` the distinct texts per source. Counted in two steps, both with partial sums:
     first each text that holds the line, then the texts.
     """
     texts = lines.groupBy("source", "line_key", "text_key").agg(F.min("doc_id").alias("first_doc"))
@@ -138,7 +139,8 @@ def _verdicts(docs: DataFrame, max_docs: int, max_share: float, min_left: float,
     keys = ["doc_id", "source", "text_key"]
     base = written(measured(docs.select("doc_id", "source", "text")), "quality-base")
     lines = base.select(*keys, F.posexplode("lines").alias("place", "line")).select(*keys, "place", "line.*")
-    hosts = base.groupBy("source").agg(F.count("*").alias("host_docs"))
+    # In the same unit as the documents of a line: exact copies are one document.
+    hosts = base.groupBy("source", "text_key").agg(F.lit(1)).groupBy("source").agg(F.count("*").alias("host_docs"))
     frequent = written(frequent_lines(lines, hosts, max_docs, max_share), "quality-frequent")
     found = match(lines, frequent, ["source", "line_key"], "inner").filter("holder <> text_key")
     # Rows that repeat a doc_id and its text would be summed up together; the rows are therefore counted as well.
@@ -199,7 +201,7 @@ def kept_documents(
     on = (
         F.col("doc_id").eqNullSafe(F.col("_velum_doc_id"))
         & F.col("source").eqNullSafe(F.col("_velum_source"))
-        & (text_key(F.col("text")) == F.col("_velum_text_key"))
+        & (text_key(F.coalesce("text", F.lit(""))) == F.col("_velum_text_key"))
     )
     gone = F.col("_velum_gone")
     text = F.when(gone.isNull(), F.col("text")).otherwise(_without(F.col("text"), gone))
@@ -225,7 +227,7 @@ l AS (
   FROM (SELECT rid, unnest(ls) AS x FROM w)
 ),
 texts AS (SELECT d.source, l.k, d.text, min(d.doc_id) AS doc_id FROM l JOIN d USING (rid) GROUP BY ALL),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
 counts AS (SELECT source, k, count(*) AS n, arg_min(text, doc_id) AS holder FROM texts GROUP BY source, k),
 freq AS (
   SELECT c.source, c.k, c.holder FROM counts c JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source
