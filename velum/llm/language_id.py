@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from velum.sources.sinks import written
+
 ORDERS, BITS = (1, 2, 3), 15
 #: Training texts of all languages together, and of one; landmarks; ridge; texts scored at once.
 TRAIN, PER_LANGUAGE, LANDMARKS, RIDGE, BATCH = 2400, 400, 128, 1e-2, 64
@@ -116,22 +118,32 @@ def training_sample(docs: DataFrame) -> DataFrame:
     usable = docs.filter(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     ).withColumn("at", F.xxhash64("doc_id", "text"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row per language
+    # Rows that repeat both id and text are one sample.
+    keys = written(usable.select("lang", "at").distinct(), "language-keys")
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return usable.limit(0).select("lang", "at", F.lit(b"").alias("bits"))
     each = max(1, min(PER_LANGUAGE, TRAIN // len(counts)))
-    # The lowest hashes are wanted: below twice the share that should do, only few rows are left to be ranked.
-    below = {x: int(min(2**63 - 1, -(2**63) + 2**64 * 2 * each / n)) for x, n in counts.items()}
-    near = usable.filter(F.col("at") <= F.create_map(*[F.lit(v) for pair in below.items() for v in pair])[F.col("lang")])
-    ranked = near.select("lang", "at").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
+    # The lowest hashes are wanted: below twice the share that should do, only few rows are left to be ranked. Where chance
+    # leaves too few, the share is raised until there are enough.
+    share = {x: 2 * each / n for x, n in counts.items()}
+    while True:
+        bound = [F.lit(v) for x, y in share.items() for v in (x, int(min(2**63 - 1, -(2**63) + 2**64 * y)))]
+        near = keys.filter(F.col("at") <= F.create_map(*bound)[F.col("lang")])
+        found = {r["lang"]: r["count"] for r in near.groupBy("lang").count().collect()}
+        short = [x for x, n in counts.items() if found.get(x, 0) < min(each, n)]
+        if not short:
+            break
+        share |= {x: 4 * share[x] for x in short}
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
     last = ranked.filter(F.col("rank") <= each).groupBy("lang").agg(F.max("at").alias("last")).collect()
     upto = F.create_map(*[F.lit(x) for row in last for x in (row["lang"], row["last"])])
-    chosen = usable.filter(F.col("at") <= upto[F.col("lang")]).select("lang", "at", "text")
+    chosen = usable.filter(F.col("at") <= upto[F.col("lang")]).select("lang", "at", "text").dropDuplicates(["lang", "at"])
     return chosen.mapInArrow(_packed, "lang string, at long, bits binary")
 
 
 def learn(docs: DataFrame) -> Model | None:
-    rows = training_sample(docs).collect()  # bounded: TRAIN rows of 2 ** BITS bits, but for equal texts of equal ids
+    rows = training_sample(docs).collect()  # bounded: TRAIN rows of 2 ** BITS bits
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["at"]))

@@ -39,11 +39,12 @@ from velum.sources.sinks import shared_path, written
 MAGIC = b"\x1f\x8b\x08"
 #: Files are closed beyond ``FILE_BYTES``; ranges are ``SPLIT_BYTES`` long; reads are ``CHUNK`` long.
 FILE_BYTES, SPLIT_BYTES, CHUNK = 1 << 30, 8 << 20, 1 << 18
-MAX_HEADER = 1 << 16
+#: Ranges are read by as many tasks, up to this many.
+MOST_TASKS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 RECORD_SCHEMA = (
     "record_id string, record_type string, url string, page_id long, refers_to long, payload_digest string, "
-    "payload_bytes long, payload binary, path string, offset long"
+    "payload_bytes long, payload binary, damaged boolean, path string, offset long"
 )
 
 
@@ -180,9 +181,12 @@ class Window:
 
 
 def inflate(window: Window) -> tuple[bytes, int] | None:
-    """The member at the window's place and its length; None if no WARC record begins there or the member is broken."""
+    """The member at the window's place and its length; None if no WARC record begins there or the member is broken.
+
+    A record's headers may have any length; a member without their end is no record.
+    """
     z, out, used = zlib.decompressobj(31), [], 0
-    size, checked = 0, False
+    size, begun, ended, tail = 0, False, False, b""
     while not z.eof:
         piece = window.data[window.pos + used : window.pos + used + window.chunk]
         if not piece:
@@ -196,15 +200,14 @@ def inflate(window: Window) -> tuple[bytes, int] | None:
         used += len(piece) - len(z.unused_data)
         out.append(new)
         size += len(new)
-        if not checked and (size >= 6 or z.eof):
-            start = b"".join(out)
-            if not start.startswith(b"WARC/1"):
-                return None
-            if b"\r\n\r\n" in start[:MAX_HEADER]:
-                checked = True
-            elif size > MAX_HEADER or z.eof:
+        if not begun and (size >= 6 or z.eof):
+            if not b"".join(out).startswith(b"WARC/1"):
                 return None
-    return b"".join(out), used
+            begun = True
+        if not ended:
+            tail = tail[-3:] + new
+            ended = b"\r\n\r\n" in tail
+    return (b"".join(out), used) if begun and ended else None
 
 
 def parse(data: bytes) -> dict | None:
@@ -226,8 +229,6 @@ def parse(data: bytes) -> dict | None:
         digest, length, payload = stored, int(n) if n.isdigit() else None, None
     else:
         digest, length, payload = digest_of(body), len(body), body
-        if stored and stored != digest:
-            raise ValueError(f"{h['warc-record-id']}: the payload does not have the digest {stored}")
     return {
         "record_id": h["warc-record-id"],
         "record_type": h["warc-type"],
@@ -237,6 +238,7 @@ def parse(data: bytes) -> dict | None:
         "payload_digest": digest,
         "payload_bytes": length,
         "payload": payload,
+        "damaged": payload is not None and stored not in ("", digest),
     }
 
 
@@ -263,6 +265,7 @@ RECORD = pa.schema(
         ("payload_digest", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload", pa.binary()),
+        ("damaged", pa.bool_()),
         ("path", pa.string()),
         ("offset", pa.int64()),
     ]
@@ -286,11 +289,16 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the files ``(path, bytes)``; a range is the unit of work."""
+    """All records of the files ``(path, bytes)``; a range is the unit of work.
+
+    ``damaged`` tells records whose payload does not have the digest stored with it; ``payload_digest`` is the payload's own.
+    Ranges are tiny rows: without a number given adaptive execution would put them all into one task.
+    """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
     ends = ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
-    return ends.repartition("path", "start").mapInArrow(_read_ranges, RECORD_SCHEMA)
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
+    return ends.repartition(max(1, min(int(n or 0), MOST_TASKS)), "path", "start").mapInArrow(_read_ranges, RECORD_SCHEMA)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
