@@ -203,6 +203,20 @@ def test_mapping_file(spark, tmp_path):
     assert got == [(0, "", "", "1", "2.5"), (4, "t", "o", "b", "c")]
 
 
+def test_mapping_files_are_read_by_name(spark, pages, tmp_path):
+    """The first file by name wins, also where a later one is larger and is read first."""
+    folder = tmp_path / "maps"
+    folder.mkdir()
+    (folder / "1.json").write_text(json.dumps([{"stara": "44051401359", "nowa": "first"}]), encoding="utf-8")
+    more = [{"stara": "44051401359", "nowa": "second"}] + [{"stara": f"x{i}", "nowa": "y" * 50} for i in range(500)]
+    (folder / "2.json").write_text(json.dumps(more), encoding="utf-8")
+    mapping = tables.scan_mapping(spark, str(folder))
+    assert [r.nowa for r in mapping.orderBy("ord").limit(2).collect()] == ["first", "second"]
+    assert mapping.select("ord").distinct().count() == 502
+    found = match.match_mapping(analyze(pages("PESEL: 44051401359")), mapping)
+    assert found.first().new_value == "first"
+
+
 def test_file_set(spark, tmp_path):
     for name in ("a.pdf", "b.PDF", "c.txt"):
         (tmp_path / name).write_bytes(b"12345")

@@ -1,11 +1,14 @@
 """Golden cases and properties of the detector on plain text."""
 
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from velum.functions import checks, dates, findings
+from velum.functions import checks, dates, findings, spans
+from velum.operators.deid import mask_items
 from velum.operators.lines import analyze, explode_lines
 
 CONTRACT = """\
@@ -162,5 +165,41 @@ def test_long_line(pages):
     assert all(text[r.start : r.end] == r.value for r in rows)
 
 
+SCRAPS = [
+    "do zapłaty", "do  zapłaty", "Imię", "imię:", "Nazwisko", "Jan", "Maria", "Nowak-Kowalska", "ul. Lipowa", "ul ", "al. ", ";",
+    "; ", "  ", "\t", " - ", "–", ":", "44051401359", "44051401358", "5260001247", "PESEL", "NIP", "REGON: 123456789",
+    "12.05.2024", "5 maja 2024 r.", "1 250,00 zł", "12,5 %", "75/100", "00-001", "FV/2024/12", "nr", "tel. +48 601 234 567",
+    "1234", "12", "a", "ab", "konto", "kod", "klient", "=", "İ", "ΑΣ", "😀", "faktura", "zł", "\x1c", "lekarz",
+]
+
+
+def test_the_index_reads_labels_as_cutting_them_out_does(pages, monkeypatch):
+    """Long lines judge labels by an index and claim text by a sweep; every line gives the same findings either way."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(SCRAPS) + rng.choice([" ", "", "  ", "; ", ": "]) for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    texts.append("".join(rng.choice(SCRAPS) + " " for _ in range(1500)))
+    columns = ["doc_id", "start", "end", "type", "value", "label", "score"]
+    rows = lambda: sorted(map(tuple, analyze(pages(*texts)).select(*columns).collect()))
+    short = rows()
+    monkeypatch.setattr(findings, "SHORT", -1)
+    monkeypatch.setattr(findings, "FEW_PAIRS", -1)
+    monkeypatch.setattr(spans, "FEW_PAIRS", -1)
+    assert rows() == short and len(short) > 2_000
+
+
+def test_masking_grows_with_the_line(pages):
+    """Sixteen thousand findings of one line cost about four times as much as four thousand."""
+
+    def seconds(n: int) -> float:
+        source = pages(" ".join(f"nr {100000 + i}" for i in range(n)))
+        start = time.time()
+        assert len(mask_items(source).first().changes) == n
+        return time.time() - start
+
+    seconds(100)
+    few = min(seconds(4_000) for _ in range(2))
+    assert seconds(16_000) < 8 * few + 2
+
+
 def test_blank_and_null_pages(pages):
     assert analyze(pages("", "  \n\t\n", None)).count() == 0

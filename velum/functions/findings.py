@@ -242,7 +242,7 @@ def name_spans(text: str, row_left: str, above: str, taken: str) -> str:
             f"array({settle(free_below(f'{n}.x[j]', 'w.x'))}), {NONE})))",
             SPAN,
         )
-        return f"IF(size({taken}) * size({words}) <= {FEW_PAIRS}, {few}, {swept})"
+        return f"IF(CAST(size({taken}) AS BIGINT) * size({words}) <= {FEW_PAIRS}, {few}, {swept})"
 
     def claimed(possible: str) -> str:
         return in_blocks(
@@ -347,7 +347,7 @@ def steps(line, spans=all_spans) -> dict[str, str]:
     text, row_left, above = "{_text}", line("row_left"), line("above")
     around = f"coalesce({row_left}, {above})"
     needed = _needed("{_spans}")
-    long = f"size({{_spans}}) * length({text}) > {SHORT}"
+    long = f"CAST(size({{_spans}}) AS BIGINT) * length({text}) > {SHORT}"
     return {
         "_text": searchable(line("text")),
         "_shape": shape_of(text),
@@ -399,7 +399,8 @@ def page_findings(pages: DataFrame, lines: str) -> DataFrame:
         f"flatten(transform(_lines, (l, i) -> transform({EXPLAINED.format('_found[i]')}, "
         "f -> named_struct('line_no', l.line_no, 'f', f))))"
     )
-    return rows.withColumn("found", F.expr(found)).drop("_lines", *known)
+    # Through a one-element array: a condition on what is made of the findings stays above it and is not unfolded.
+    return rows.select(*pages.columns, F.explode(F.array(F.expr(found))).alias("found"))
 
 
 def describe(lines: DataFrame, keep: list[str], spans=all_spans) -> DataFrame:

@@ -115,7 +115,7 @@ def free_spans(taken: str, spans: str) -> str:
         SPAN,
     )
     few = f"filter({spans}, c -> {is_free(taken, 'c.s', 'c.e')})"
-    return f"IF(size({taken}) * size({spans}) <= {FEW_PAIRS}, {few}, {swept})"
+    return f"IF(CAST(size({taken}) AS BIGINT) * size({spans}) <= {FEW_PAIRS}, {few}, {swept})"
 
 
 def claim_in_order(groups: str) -> str:

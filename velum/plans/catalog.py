@@ -469,7 +469,9 @@ def _(spark, sf_dir):
 
 @query("arbitrate")
 def _(spark, sf_dir):
-    rows = fn.with_steps(corpus_lines(spark, sf_dir), last="_taken").select(*LINE, F.explode("_taken").alias("s"))
+    rows = fn.with_steps(corpus_lines(spark, sf_dir), last="_taken").select(
+        *LINE, F.explode(F.expr("filter(_taken, s -> s.e > s.s)")).alias("s")
+    )
     return rows.selectExpr(*LINE, "s.s AS start", "s.e AS end", "s.v AS value", "s.k AS kind")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from velum.functions import patterns as P
 from velum.functions.sqlx import quoted
@@ -49,17 +50,23 @@ def scan_file_set(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]")
 
 
 def scan_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Mapping files, each a JSON array of objects, as ``(ord, typ, opis, stara, nowa)``; ``ord`` follows the arrays.
+    """Mapping files, each a JSON array of objects, as ``(ord, typ, opis, stara, nowa)``.
 
-    Entries that are no objects, or lack ``stara`` or ``nowa``, are left out. A byte order mark is tolerated. A file
-    is one document and is read by one task: this is the form people keep by hand. A large mapping is a folder of
-    such files, or JSON Lines, see :func:`scan_mapping_lines`.
+    ``ord`` follows the files by name and each array by place, whatever order Spark reads the files in. Entries that are
+    no objects, or lack ``stara`` or ``nowa``, are left out. A byte order mark is tolerated. A file is one document and is
+    read by one task: this is the form people keep by hand. A large mapping is a folder of such files, or JSON Lines, see
+    :func:`scan_mapping_lines`.
     """
     body = F.regexp_replace("value", "^\\uFEFF", "")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), body.alias("body"))
+    # One row per file: numbering them by name is a small job of one task.
+    numbered = files.select("file").withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1)
     return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(F.from_json(body, "array<string>")).alias("entry"))
-        .select(F.monotonically_increasing_id().alias("ord"), F.from_json("entry", MAPPING_ENTRY).alias("e"))
+        files.join(numbered, "file")
+        .select("file_no", F.posexplode(F.from_json("body", "array<string>")).alias("place", "entry"))
+        .select(
+            (F.col("file_no").cast("bigint") * 2**31 + F.col("place")).alias("ord"), F.from_json("entry", MAPPING_ENTRY).alias("e")
+        )
         .filter("e.stara IS NOT NULL AND e.nowa IS NOT NULL")
         .select("ord", *_mapping_columns("e."))
     )
