@@ -205,11 +205,11 @@ def test_lm_scores(spark, docs, hairy, empty):
     assert lm_scoring.cross_entropy_difference(docs, labels.limit(0)).count() == len(hairy)
 
 
-@pytest.mark.parametrize("words, pairs", [(0, 0), (5, 300), (1000, 5)])
-def test_lm_scores_use_every_count(spark, docs, hairy, monkeypatch, words, pairs):
-    """However few words and pairs are sent to the tasks, all count."""
-    monkeypatch.setattr(lm_scoring, "WORDS", words, raising=False)
-    monkeypatch.setattr(lm_scoring, "PAIRS", pairs)
+@pytest.mark.parametrize("block, ranges", [(1, 1), (37, 10_000), (1 << 40, 50)])
+def test_lm_scores_use_every_count(spark, docs, hairy, monkeypatch, block, ranges):
+    """However the texts are cut into blocks and the hashes into ranges, all counts are used."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    monkeypatch.setattr(lm_scoring, "RANGE", ranges)
     ids = [r[0] for r in hairy if r[0] is not None and r[0] % 3 == 0]
     labels = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     got = Counter(
@@ -219,10 +219,17 @@ def test_lm_scores_use_every_count(spark, docs, hairy, monkeypatch, words, pairs
     assert got == Counter(plain_scores([(r[0], r[1]) for r in hairy], set(ids)))
 
 
-def test_lm_models_keep_the_most_frequent(spark):
-    rows = spark.createDataFrame([(f"w{i}", n, 0) for i, n in enumerate([5, 1, 1, 1, 9, 5, 2])], "word string, n long, n_target long")
-    kept = {most: sorted(lm_scoring.most_frequent(rows, most)["n"].to_pylist()) for most in (0, 1, 2, 4, 6, 7)}
-    assert kept == {0: [], 1: [9], 2: [9], 4: [2, 5, 5, 9], 6: [2, 5, 5, 9], 7: [1, 1, 1, 2, 5, 5, 9]}
+@pytest.mark.parametrize("values", [[], [0], [-1, 1 << 62, -(1 << 63), 5, 5]])
+def test_lm_columns_are_packed_without_loss(values):
+    assert lm_scoring.unpacked(lm_scoring.packed(np.array(values, "i8"))).tolist() == values
+
+
+def test_lm_scores_of_texts_without_words(spark):
+    rows = [(1, None), (1, ""), (None, " \n"), (2, None)]
+    got = lm_scoring.cross_entropy_difference(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")
+    ).collect()
+    assert Counter(tuple(r) for r in got) == Counter((d, 0, None, None, None) for d, _ in rows)
 
 
 def test_lm_scores_tell_the_target_apart(spark):

@@ -4,19 +4,22 @@ Two bigram models are matched in all but their counts: one vocabulary, one set o
 model counts the target documents, the background model all documents. A text's score is the mean over its words of the
 loss under the target model minus the loss under the background model; the lower, the nearer to the target.
 
-All words and word pairs of all documents are counted exactly, told apart by 64-bit hashes; the tables grow with the corpus.
-A model that has counted a text would know it by heart: the text's own counts are taken off before it is scored. So what
-has been counted once and no more is worth nothing to any text, and the tables keep what was counted at least twice. Texts
-meet the counts in two ways with the same result. The ``WORDS`` and ``PAIRS`` most frequent are sent to every task, which
-sums up the losses it can tell where the text is read. Each other pair of a text is a row that is joined with the tables,
-and the losses come back to the text as sums. No task gets a large share of those rows: they are joined by what is none of
-the most frequent.
+All words and word pairs of all documents are counted exactly, told apart by 64-bit hashes, and every count is used. A
+model that has counted a text would know it by heart: the text's own counts are taken off before it is scored.
+
+Texts are written as blocks of about ``BLOCK`` words, as numbers of the block's own word list. What is shuffled are not
+pairs but packed columns: a block counts its distinct pairs, words and beginnings and sends one row per range of hashes,
+with sorted hashes and counts. A task adds up the blocks of a range and sends each of them, in the order it asked, what
+the *other* blocks counted. Back at the block the sums are complete and all its texts are scored. The ranges grow in
+number with the corpus; a range has at most one entry per block for any hash, so no frequent word or pair weighs on a
+task. There are never more rows than distinct pairs per block, however many blocks and ranges there are.
 
     P(w | v) = (count(v w) + STRENGTH * P(w)) / (count(v .) + STRENGTH),  P(w) = (count(w) + 1) / (words + types)
 
 Defined cases: a text without words, null included, has 0 words and null losses; rows that repeat a doc_id are counted and
 scored each; labels without a document, or that repeat, change nothing; without target documents the target model knows
-nothing and all its words are alike; an empty table gives an empty result; further columns are ignored.
+nothing and all its words are alike; a text longer than a block is a block of its own, never cut; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +30,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from velum.sources.sinks import written
 
-#: Words and pairs that are sent to every task; how many changes no result.
-WORDS, PAIRS, STRENGTH = 1 << 19, 1 << 20, 8.0
-#: Words of the texts that a task sums up, or scores, at once, and distinct words it remembers.
-PAIR_PART, SCORE_PART, REMEMBERED = 2_000_000, 200_000, 500_000
+STRENGTH = 8.0
+#: Words of a block, words of the corpus per range of hashes, and distinct words a task remembers; none changes a result.
+BLOCK, RANGE, REMEMBERED = 1_000_000, 1_000_000, 500_000
 #: The word before a text's first; no hash of a word is negative.
 START = -1
-COUNTED = "is_word boolean, key long, n long, n_target long, begins long, begins_target long"
-PARTIAL = (
-    "row long, doc_id long, n_tokens int, is_target boolean, pair long, times int, own_word int, own_before int, "
-    "word long, word_n long, word_n_target long, before long, before_n long, before_n_target long, "
-    "ce_target double, ce_background double"
-)
+PAIR, WORD, BEGIN = range(3)
+BLOCKS = "doc_ids array<long>, sizes array<long>, targets array<boolean>, words binary, numbers binary, n long, n_target long"
+COUNTED = "block long, kind int, range long, keys binary, n binary, n_target binary"
+OTHERS = "block long, kind int, range long, n binary, n_target binary, fresh long"
+SCORED = "doc_id long, n_tokens long, ce_target double, ce_background double"
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Longs as bytes, the first bytes of all numbers first, then the second ones: most of them are zeros."""
+    return zstandard.compress(x.astype("<i8").view("u1").reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), "u1")
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,139 +109,102 @@ def parts(batches: Iterator[pa.RecordBatch], words: Words, most: int):
         yield rows, texts
 
 
-def befores(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts together the words, the words before them, and the number of the text."""
-    sizes = np.array([len(t) for t in texts])
-    word = np.concatenate(texts)
-    before = np.concatenate([[0], word[:-1]]) if len(word) else word
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-    return word, before, np.repeat(np.arange(len(texts)), sizes)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts ``(doc_id, is_target, text)`` as blocks."""
+    words = Words()
+    for rows, texts in parts(batches, words, BLOCK):
+        sizes = np.array([len(t) for t in texts])
+        targets = np.array([r[1] for r in rows])
+        used, numbers = np.unique(np.concatenate(texts), return_inverse=True)
+        made = [
+            [r[0] for r in rows],
+            sizes,
+            targets,
+            packed(words.hashes()[used]),
+            packed(numbers + 1),
+            int(sizes.sum()),
+            int(sizes[targets].sum()),
+        ]
+        types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, types)], names(BLOCKS))
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of pairs from the hashes of both words."""
     x = before.astype("u8") * np.uint64(0x9E3779B97F4A7C15) + word.astype("u8")
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))).astype("i8")
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs, and words with how often a pair begins with them."""
-    words = Words()
-    for rows, texts in parts(batches, words, PAIR_PART):
-        word, before, text = befores(texts)
-        chosen = np.array([r[0] for r in rows])[text]
-        span = len(words.known) + 1
-        pair = before * span + word
-        found, n = np.unique(pair, return_counts=True)
-        own, m = np.unique(pair[chosen], return_counts=True)
-        n_target = np.zeros(len(found), "i8")
-        n_target[np.searchsorted(found, own)] = m
-        single = [np.bincount(x, minlength=span) for x in (word, word[chosen], before, before[chosen])]
-        used = np.flatnonzero(single[0] + single[2])
-        keys, none = words.hashes(), np.zeros(len(found), "i8")
-        columns = [
-            np.repeat([True, False], [len(used), len(found)]),
-            np.concatenate([keys[used], pair_keys(keys[found // span], keys[found % span])]),
-            *(np.concatenate([x[used], y]) for x, y in zip(single, (n, n_target, none, none))),
+    return x ^ (x >> np.uint64(32))
+
+
+class Block:
+    """The words of a block's texts and, per kind, its sorted distinct keys, their counts and each word's place there."""
+
+    def __init__(self, sizes: list[int], targets: list[bool], words: bytes, numbers: bytes):
+        self.sizes, self.targets = np.array(sizes, "i8"), np.array(targets, "?")
+        self.word = unpacked(numbers)
+        self.before = np.r_[0, self.word][: len(self.word)]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        hashes = np.r_[START, unpacked(words)]
+        self.span = len(hashes)
+        pairs, pair_at = np.unique(self.before * self.span + self.word, return_inverse=True)
+        begins, begin_at = np.unique(self.before, return_inverse=True)
+        # Words and beginnings are pairs with what no hash of a word is.
+        alone = {k: np.full(n, -2 - k) for k, n in ((WORD, self.span - 1), (BEGIN, len(begins)))}
+        self.kinds = [
+            self._counted(pair_keys(hashes[pairs // self.span], hashes[pairs % self.span]), pair_at),
+            self._counted(pair_keys(alone[WORD], hashes[1:]), self.word - 1),
+            self._counted(pair_keys(alone[BEGIN], hashes[begins]), begin_at),
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in COUNTED.split(", ")])
-
 
-class Frequent:
-    """Counts of the most frequent words and pairs; ``start`` has how many texts begin, all and target ones."""
+    def _counted(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(keys)
+        place = np.empty(len(keys), "i8")
+        place[order] = np.arange(len(keys))
+        at = place[at]
+        counts = (np.bincount(x, minlength=len(keys)) for x in (at, at[self.targets[self.text]]))
+        return keys[order], *counts, at
 
-    def __init__(self, words: pa.Table, pairs: pa.Table, start: tuple[int, int]):
-        words, pairs = words.sort_by("key"), pairs.sort_by("key")
-        self.words = np.r_[START, words.column("key").to_numpy()].astype("i8")
-        first = {"begins": start[0], "begins_target": start[1]}
-        # A last row of zeros is for what is not found.
-        self.word_counts = [
-            np.r_[first.get(c, 0), words.column(c).to_numpy(), 0].astype("i8") for c in ("n", "n_target", "begins", "begins_target")
-        ]
-        self.pairs = pairs.column("key").to_numpy()
-        self.pair_counts = [np.r_[pairs.column(c).to_numpy(), 0].astype("i8") for c in ("n", "n_target")]
 
+def _counts(bits: int):
+    """Each block's counts, a row per kind and range; a range is the first ``bits`` bits of a key."""
 
-def places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where each of ``x`` is among the sorted ``known``, or their number if it is not."""
-    at = np.searchsorted(known, x)
-    there = np.zeros(len(x), bool)
-    inside = at < len(known)
-    there[inside] = known[at[inside]] == x[inside]
-    return np.where(there, at, len(known))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                made = []
+                for kind, (keys, n, n_target, _) in enumerate(Block(*block).kinds):
+                    ranges = keys >> np.uint64(1) >> np.uint64(63 - bits)
+                    starts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]][: len(keys)])
+                    for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
+                        steps = np.diff(keys[a:b], prepend=np.uint64(0)).view("i8")
+                        made.append((number, kind, int(ranges[a]), packed(steps), packed(n[a:b]), packed(n_target[a:b])))
+                yield _batch(made, COUNTED)
 
+    return run
 
-def _partial(frequent, totals: tuple[int, int], types: int, more_words: bool, more_pairs: bool):
-    """One row per text with the losses that can be told here, and one for each other pair of the text.
 
-    ``more_words`` and ``more_pairs`` tell whether there are others than the frequent ones.
-    """
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = [types[c.split()[1]] for c in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Frequent = frequent.value
-        words = Words()
-        for rows, texts in parts(batches, words, SCORE_PART):
-            word, before, text = befores(texts)
-            keys, span = words.hashes(), len(words.known) + 1
-            used = np.unique(np.r_[0, word])
-            word_at = np.zeros(span, "i8")
-            word_at[used] = places(known.words, keys[used])
-            pairs, number = np.unique(before * span + word, return_inverse=True)
-            pair = pair_keys(keys[pairs // span], keys[pairs % span])
-            pair_at = places(known.pairs, pair)
-            # Distinct pairs of each text from here on.
-            many = max(len(pairs), 1)
-            place, times = np.unique(text * many + number, return_counts=True)
-            text, number = place // many, place % many
-            before, word = pairs[number] // span, pairs[number] % span
-            own_word, own_before = (summed(text * span + x, times) for x in (word, before))
-            pair, pair_at = pair[number], pair_at[number]
-            single = [c[word_at[word]] for c in known.word_counts[:2]]
-            begun = [c[word_at[before]] for c in known.word_counts[2:]]
-            rare_word, rare_before = (more_words & (word_at[x] == len(known.words)) for x in (word, before))
-            left = rare_word | rare_before | (more_pairs & (pair_at == len(known.pairs)))
-            ids = np.array([r[0] for r in rows], "i8")
-            sizes = np.array([len(t) for t in texts])
-            targets = np.array([r[2] for r in rows])
-            here = ~left
-            t, k = text[here], times[here]
-            sums = []
-            for model, learned in ((1, targets[t]), (0, np.ones(len(t), bool))):
-                total = totals[model] - sizes[t] * learned + types
-                # What was counted once is not kept: it has nothing left when its own count is taken off.
-                p = STRENGTH * (np.maximum(single[model][here] - own_word[here] * learned, 0) + 1) / total
-                p += np.maximum(known.pair_counts[model][pair_at[here]] - k * learned, 0)
-                loss = -k * np.log(p / (np.maximum(begun[model][here] - own_before[here] * learned, 0) + STRENGTH))
-                sums.append(np.bincount(t, loss, len(rows)))
-            t = text[left]
-            none = np.zeros(len(rows), "i8")
-            away = -2 - ids  # finds nothing, and is dealt out as the texts are
-            made = {
-                "row": [ids, ids[t]],
-                "n_tokens": [sizes, sizes[t]],
-                "is_target": [targets, targets[t]],
-                "pair": [away, pair[left]],
-                "times": [none, times[left]],
-                "own_word": [none, own_word[left]],
-                "own_before": [none, own_before[left]],
-                "word": [away, np.where(rare_word, keys[word], away[text])[left]],
-                "word_n": [none, single[0][left]],
-                "word_n_target": [none, single[1][left]],
-                "before": [away, np.where(rare_before, keys[before], away[text])[left]],
-                "before_n": [none, begun[0][left]],
-                "before_n_target": [none, begun[1][left]],
-                "ce_target": [sums[0], np.zeros(len(t))],
-                "ce_background": [sums[1], np.zeros(len(t))],
-            }
-            made = {c: pa.array(np.concatenate(x)) for c, x in made.items()}
-            for c in ("n_tokens", "times", "own_word", "own_before"):
-                made[c] = made[c].cast(pa.int32())
-            made["doc_id"] = pa.array([r[1] for r in rows] + [None] * len(t), pa.int64())
-            order = [c.split()[0] for c in PARTIAL.split(", ")]
-            yield pa.RecordBatch.from_arrays([made[c] for c in order], order)
 
-    return run
+def _others(table: pa.Table) -> pa.Table:
+    """For each block's keys of a range and kind the counts of all other blocks; ``fresh`` adds up to the distinct keys."""
+    blocks, kinds, ranges, *data = (c.to_pylist() for c in table.columns)
+    keys = [np.cumsum(unpacked(x).view("u8")) for x in data[0]]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])
+    rest = []
+    for packs in data[1:]:
+        own = np.concatenate([unpacked(x) for x in packs])
+        total = np.zeros(len(distinct), "i8")
+        np.add.at(total, place, own)
+        rest.append([packed(x) for x in np.split(total[place] - own, ends[:-1])])
+    fresh = [len(distinct), *[0] * (len(keys) - 1)]
+    return pa.Table.from_batches([_batch(list(zip(blocks, kinds, ranges, *rest, fresh)), OTHERS)])
 
 
 def summed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -235,46 +213,37 @@ def summed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(place, n).astype("i8")[place] if len(x) else place
 
 
-def most_frequent(counts: DataFrame, most: int) -> pa.Table:
-    """The rows with the highest ``n``: all from the least count on at which they are no more than ``most``."""
-    by_count = counts.groupBy("n").agg(F.count("*").alias("rows"))
-    so_far = by_count.withColumn("rows", F.sum("rows").over(Window.orderBy(F.desc("n"))))
-    least = so_far.filter(F.col("rows") <= most).agg(F.min("n")).first()[0]
-    return counts.filter(F.col("n") >= (least or 1 << 62)).toArrow()
-
-
-def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Words and pairs counted at least twice, with the counts of both models, and the sums over all words."""
-    sums = [F.sum(c).alias(c) for c in ("n", "n_target", "begins", "begins_target")]
-    counted = docs.select("is_target", "text").mapInArrow(_counts, COUNTED).groupBy("is_word", "key").agg(*sums)
-    counted = written(counted.filter("is_word OR n > 1"), "lm-counts")
-    words, pairs = counted.filter("is_word").drop("is_word"), counted.filter("NOT is_word").select("key", "n", "n_target")
-    start = F.col("key") == START
-    total = words.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")],
-        *[F.coalesce(F.sum(F.when(start, F.col(c))), F.lit(0)).alias(c) for c in ("begins", "begins_target")],
-        F.count(F.when(~start, 1)).alias("types"),
-        F.count(F.when(F.col("n") > 1, 1)).alias("kept_words"),
-    ).first()
-    return words.filter("n > 1"), pairs, total.asDict()
-
+def _scores(totals: tuple[int, int], types: int):
+    """Texts of a block with their mean losses, from the block and what the other blocks counted."""
+
+    def run(blocks: pa.Table, others: pa.Table) -> pa.Table:
+        _, doc_ids, *stored = (c.to_pylist()[0] for c in blocks.columns)
+        block = Block(*stored)
+        _, kinds, ranges, *rest = (c.to_pylist() for c in others.columns[:5])
+        order = sorted(range(len(kinds)), key=lambda i: (kinds[i], ranges[i]))
+        counts = []
+        for kind, (_, *own, _) in enumerate(block.kinds):
+            mine = [i for i in order if kinds[i] == kind]
+            none = np.zeros(0, "i8")
+            counts.append([x + np.concatenate([none, *(unpacked(r[i]) for i in mine)]) for x, r in zip(own, rest)])
+        # Distinct pairs of each text, by the place where each stands first.
+        many = max(len(block.kinds[PAIR][0]), 1)
+        _, first, times = np.unique(block.text * many + block.kinds[PAIR][3], return_index=True, return_counts=True)
+        t = block.text[first]
+        own_word, own_before = (summed(t * block.span + x[first], times) for x in (block.word, block.before))
+        pair, word, begin = (block.kinds[k][3][first] for k in (PAIR, WORD, BEGIN))
+        losses = []
+        for model, learned in ((1, block.targets[t]), (0, np.ones(len(t), bool))):
+            total = totals[model] - block.sizes[t] * learned + types
+            p = STRENGTH * (counts[WORD][model][word] - own_word * learned + 1) / total
+            p += counts[PAIR][model][pair] - times * learned
+            loss = -times * np.log(p / (counts[BEGIN][model][begin] - own_before * learned + STRENGTH))
+            losses.append(np.bincount(t, loss, len(block.sizes)) / np.maximum(block.sizes, 1))
+        none = block.sizes == 0
+        made = [pa.array(doc_ids, pa.int64()), pa.array(block.sizes), *(pa.array(x, pa.float64(), mask=none) for x in losses)]
+        return pa.Table.from_arrays(made, names(SCORED))
 
-def loss(suffix: str, total: int, types: int, learned: Column) -> Column:
-    """Loss of all occurrences of a pair in a text, the text's own counts taken off if the model has ``learned`` it."""
-
-    def less(n: Column, own: str) -> Column:
-        return F.greatest(n - F.when(learned, F.col(own)).otherwise(0), F.lit(0))
-
-    single = STRENGTH * (less(F.col(f"word_n{suffix}"), "own_word") + 1) / (less(F.lit(total), "n_tokens") + types)
-    p = less(F.coalesce(f"pair_n{suffix}", F.lit(0)), "times") + single
-    return -F.col("times") * F.log(p / (less(F.col(f"before_n{suffix}"), "own_before") + STRENGTH))
-
-
-def looked_up(rows: DataFrame, words: DataFrame, key: str, counts: list[str]) -> DataFrame:
-    """Rows with the counts of their rare words."""
-    found = words.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in counts])
-    given = {f"{key}_{n}": F.coalesce(f"_{c}", f"{key}_{n}") for n, c in zip(("n", "n_target"), counts)}
-    return rows.join(found, rows[key] == F.col("_key"), "left").withColumns(given).drop("_key", *[f"_{c}" for c in counts])
+    return run
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -285,32 +254,18 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     flagged = rows.join(chosen, F.col("doc_id") == F.col("_target"), "left").select(
         "doc_id", F.col("_target").isNotNull().alias("is_target"), "text"
     )
-    flagged = written(flagged.withColumn("row", F.monotonically_increasing_id()), "lm-documents")
-    words, pairs, total = learn(flagged)
-    totals, types = (total["n"], total["n_target"]), total["types"] + 1
-    known = Frequent(most_frequent(words, WORDS), most_frequent(pairs, PAIRS), (total["begins"], total["begins_target"]))
-    more_words, more_pairs = total["kept_words"] > len(known.words) - 1, pairs.count() > len(known.pairs)
-    frequent = docs.sparkSession.sparkContext.broadcast(known)
-    texts = flagged.select("row", "doc_id", "is_target", "text")
-    met = texts.mapInArrow(_partial(frequent, totals, types, more_words, more_pairs), PARTIAL)
-    if more_words:
-        met = looked_up(met, words, "word", ["n", "n_target"])
-        met = looked_up(met, words, "before", ["begins", "begins_target"])
-    found = pairs.select(F.col("key").alias("_key"), F.col("n").alias("pair_n"), F.col("n_target").alias("pair_n_target"))
-    met = met.join(found, F.col("pair") == F.col("_key"), "left")
-    losses = {
-        "ce_target": loss("_target", totals[1], types, F.col("is_target")),
-        "ce_background": loss("", totals[0], types, F.lit(True)),
-    }
-    summed_up = (
-        met.select(
-            "row", "doc_id", "n_tokens", *[F.when(F.col("times") > 0, x).otherwise(F.col(c)).alias(c) for c, x in losses.items()]
-        )
-        .groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").cast("long").alias("n_tokens"), *[F.sum(c).alias(c) for c in losses])
-    )
-    means = [F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c) for c in losses]
-    return summed_up.select("doc_id", "n_tokens", *means).withColumn("score", F.col("ce_target") - F.col("ce_background"))
+    blocks = flagged.mapInArrow(_blocks, BLOCKS).withColumn("block", F.monotonically_increasing_id())
+    blocks = written(blocks, "lm-blocks")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target")]
+    n, n_target = blocks.agg(*sums).first()
+    stored = blocks.select("block", "sizes", "targets", "words", "numbers")
+    counted = stored.mapInArrow(_counts((n // RANGE).bit_length()), COUNTED)
+    others = written(counted.groupBy("range", "kind").applyInArrow(_others, OTHERS), "lm-others")
+    types = others.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0] + 1
+    texts = blocks.select("block", "doc_ids", "sizes", "targets", "words", "numbers")
+    met = texts.groupBy("block").cogroup(others.groupBy("block"))
+    scored = met.applyInArrow(_scores((n, n_target), types), SCORED)
+    return scored.withColumn("score", F.col("ce_target") - F.col("ce_background"))
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
