@@ -23,6 +23,7 @@ CATALOG: dict[str, Query] = {}
 
 LINE = ["doc_id", "page", "line_no"]
 SALT = "sól"
+MAX_CHARS = 5_000_000
 REQUIRED = ["data", "PESEL", "NIP", "nr konta"]
 
 
@@ -149,14 +150,14 @@ def _(spark, sf_dir):
     return word_boxes(spark, sf_dir)
 
 
-def _form_report(spark, sf_dir):
-    jobs = sinks.written(mask_jobs(form_items(spark, sf_dir)), "report-jobs")
+def _report(spark, sf_dir):
+    jobs = sinks.written(mask_jobs(corpus_items(spark, sf_dir)), "report-jobs")
     return match.join_reports(jobs, match.replacement_report(jobs.filter("new_value <> value")))
 
 
 @query("write_report_csv")
 def _(spark, sf_dir):
-    path, report = sinks.shared_path(spark, "report-csv"), _form_report(spark, sf_dir)
+    path, report = sinks.shared_path(spark, "report-csv"), _report(spark, sf_dir)
     sinks.write_report_csv(report, path)
     return (
         spark.read.schema(report.schema)
@@ -168,7 +169,7 @@ def _(spark, sf_dir):
 
 @query("write_report_json")
 def _(spark, sf_dir):
-    path, report = sinks.shared_path(spark, "report-json"), _form_report(spark, sf_dir)
+    path, report = sinks.shared_path(spark, "report-json"), _report(spark, sf_dir)
     sinks.write_report_json(report, path)
     return spark.read.schema(report.schema).json(path)
 
@@ -177,7 +178,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Written and read back as the mapping it is."""
     path = sinks.shared_path(spark, "mapping-out")
-    sinks.write_mapping(mask_jobs(form_items(spark, sf_dir)), path)
+    sinks.write_mapping(mask_jobs(corpus_items(spark, sf_dir)), path)
     return tables.scan_mapping_lines(spark, path).drop("ord")
 
 
@@ -383,7 +384,7 @@ def _(spark, sf_dir):
 
 @query("ocr_score_cap")
 def _(spark, sf_dir):
-    lines = context_lines(forms(spark, sf_dir)).withColumn("source", F.lit("ocr"))
+    lines = corpus_lines(spark, sf_dir).withColumn("source", F.lit("ocr"))
     return analyze_lines(lines).select(*LINE, "start", "end", "type", "score", "source")
 
 
@@ -533,7 +534,7 @@ def _(spark, sf_dir):
 
 @query("select_changes")
 def _(spark, sf_dir):
-    jobs = sinks.written(mask_jobs(form_items(spark, sf_dir)), "stored-changes")
+    jobs = sinks.written(mask_jobs(corpus_items(spark, sf_dir)), "stored-changes")
     values = jobs.filter("type IN ('NIP', 'PESEL')").select(
         "item_id", F.expr("IF(type = 'NIP', '', concat('x', value))").alias("new_value")
     )
@@ -544,18 +545,17 @@ def _(spark, sf_dir):
 
 
 def mapped_jobs(spark, sf_dir):
-    return match.match_mapping(form_items(spark, sf_dir), form_mapping(spark, sf_dir))
+    return match.match_mapping(corpus_items(spark, sf_dir), form_mapping(spark, sf_dir))
 
 
 @query("match_mapping")
 def _(spark, sf_dir):
-    items = match.match_mapping(corpus_items(spark, sf_dir), form_mapping(spark, sf_dir))
-    return items.select(*LINE, "start", "type", "value", "label", "new_value")
+    return mapped_jobs(spark, sf_dir).select(*LINE, "start", "type", "value", "label", "new_value")
 
 
 @query("join_reports")
 def _(spark, sf_dir):
-    return _form_report(spark, sf_dir)
+    return _report(spark, sf_dir)
 
 
 @query("date_variants")
@@ -591,12 +591,19 @@ def _(spark, sf_dir):
     return profile.count_ok(match.replacement_report(mask_jobs(corpus_items(spark, sf_dir))))
 
 
+def failing_pages(spark, sf_dir):
+    """Pages that cannot be processed, one per nation, of three kinds, with numbers after all others."""
+    nations = fx.table(spark, sf_dir, "nation")
+    kinds = "element_at(array(NULL, CAST(unhex('61C328') AS STRING), repeat('x', {0} + 1)), n_nationkey % 3 + 1)".format(MAX_CHARS)
+    first = fx.DOC_RANGE * len(fx.SOURCES)
+    return nations.select((F.col("n_nationkey") + F.lit(first)).alias("doc_id"), F.lit(0).alias("page"), F.expr(kinds).alias("text"))
+
+
 @query("batch_summary")
 def _(spark, sf_dir):
-    pages = corpus(spark, sf_dir)
-    unreadable = pages.withColumn("text", F.expr("IF(doc_id % 10 = 7, NULL, text)"))
-    replacements = match.replacement_report(mask_jobs(analyze(unreadable)))
-    return deid.batch_summary(unreadable, replacements)
+    """The whole corpus, and pages that fail beside it."""
+    pages = deid.checked_pages(corpus(spark, sf_dir).unionByName(failing_pages(spark, sf_dir)), MAX_CHARS)
+    return deid.batch_summary(pages, match.replacement_report(mask_jobs(analyze(pages.drop("error")))))
 
 
 # ---- de-identification -------------------------------------------------------------------------------
@@ -647,7 +654,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A mapping exported from changed items, read back and applied to the documents it came from."""
     path, jobs_path = sinks.shared_path(spark, "mapping-out"), sinks.shared_path(spark, "batch-jobs")
-    pages = forms(spark, sf_dir)
+    pages = corpus(spark, sf_dir)
     sinks.write_mapping(mask_jobs(analyze(pages)), path)
     return deid.batch_apply(pages, tables.scan_mapping_lines(spark, path), jobs_path)[2]
 
@@ -655,7 +662,7 @@ def _(spark, sf_dir):
 @query("verify_replacement")
 def _(spark, sf_dir):
     jobs = sinks.written(mapped_jobs(spark, sf_dir), "matched-jobs")
-    return deid.verify_replacement(deid.apply_replacements(forms(spark, sf_dir), jobs), jobs)
+    return deid.verify_replacement(deid.apply_replacements(corpus(spark, sf_dir), jobs), jobs)
 
 
 # ---- stream ------------------------------------------------------------------------------------------

@@ -612,8 +612,8 @@ oracle(
 oracle("clean_label", f"SELECT {LINE}, {clean('text')} AS cleaned FROM c_lines", "c_lines")
 oracle(
     "ocr_score_cap",
-    f"""SELECT {LINE}, start, "end", type, least(score, CAST(0.6 AS DOUBLE)) AS score, 'ocr' AS source FROM f_items""",
-    "f_items",
+    f"""SELECT {LINE}, start, "end", type, least(score, CAST(0.6 AS DOUBLE)) AS score, 'ocr' AS source FROM c_items""",
+    "c_items",
 )
 oracle(
     "date_score",
@@ -715,20 +715,20 @@ for _prefix in ("c", "f"):
 _CHANGED = "new_value NOT IN ('', value)"
 _REPORT = f"""SELECT item_id AS id, page + 1 AS strona, type AS typ, label AS opis_etykieta, value AS wartosc_oryginalna,
     new_value AS wartosc_nowa, CASE WHEN new_value = value THEN '' WHEN new_value = '' THEN 'pominieto (pusta wartość)'
-    ELSE 'ok' END AS status, '' AS pozycja FROM f_jobs"""
+    ELSE 'ok' END AS status, '' AS pozycja FROM c_jobs"""
 for _key in ("join_reports", "write_report_csv", "write_report_json"):
-    oracle(_key, _REPORT, "f_jobs")
+    oracle(_key, _REPORT, "c_jobs")
 oracle(
     "write_mapping",
-    "SELECT type AS typ, label AS opis, value AS stara, new_value AS nowa FROM f_jobs WHERE new_value <> ''",
-    "f_jobs",
+    "SELECT type AS typ, label AS opis, value AS stara, new_value AS nowa FROM c_jobs WHERE new_value <> ''",
+    "c_jobs",
 )
 oracle(
     "select_changes",
     f"""SELECT * FROM (SELECT {LINE}, start, type, value,
-        CASE type WHEN 'NIP' THEN '' WHEN 'PESEL' THEN 'x' || value ELSE new_value END AS new_value FROM f_jobs)
+        CASE type WHEN 'NIP' THEN '' WHEN 'PESEL' THEN 'x' || value ELSE new_value END AS new_value FROM c_jobs)
     WHERE new_value NOT IN ('', value)""",
-    "f_jobs",
+    "c_jobs",
 )
 for _prefix in ("c", "f"):
     cte(
@@ -769,10 +769,11 @@ oracle("count_changed", f"SELECT count(*) AS n_changed FROM c_jobs WHERE {_CHANG
 oracle("count_ok", "SELECT count(*) AS n_ok FROM c_jobs WHERE new_value <> ''", "c_jobs")
 oracle(
     "batch_summary",
-    """SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 'błąd: brak tekstu' ELSE 'ok' END AS status,
-        CASE WHEN doc_id % 10 = 7 THEN 0 ELSE coalesce(n, 0) END AS n_replaced
-    FROM (SELECT DISTINCT doc_id FROM c_pages)
-    LEFT JOIN (SELECT doc_id, count(*) AS n FROM c_jobs WHERE new_value <> '' GROUP BY doc_id) USING (doc_id)""",
+    f"""SELECT doc_id, CASE WHEN bool_or(text IS NULL) THEN 'błąd: brak tekstu' ELSE 'ok' END AS status,
+        CASE WHEN bool_or(text IS NULL) THEN 0 ELSE coalesce(any_value(n), 0) END AS n_replaced FROM c_pages
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM c_jobs WHERE new_value <> '' GROUP BY doc_id) USING (doc_id) GROUP BY doc_id
+    UNION ALL SELECT {fx.DOC_RANGE * len(fx.SOURCES)} + n_nationkey,
+        'błąd: ' || ['brak tekstu', 'niepoprawny UTF-8', 'strona za długa'][n_nationkey % 3 + 1], 0 FROM nation""",
     "c_pages", "c_jobs",
 )
 oracle(
@@ -838,24 +839,25 @@ oracle(
 # A label or value takes its new value from the first item that has it.
 oracle(
     "mapping_round_trip",
-    """SELECT doc_id, 'ok' AS status, coalesce(n, 0) AS n_replaced FROM (SELECT DISTINCT doc_id FROM f_pages)
-    LEFT JOIN (SELECT doc_id, count(*) AS n FROM f_items
-        WHERE lower(trim(label)) IN (SELECT lower(trim(label)) FROM f_jobs WHERE new_value <> '' AND trim(label) <> '')
-        OR trim(value) IN (SELECT trim(value) FROM f_jobs WHERE new_value <> '') GROUP BY doc_id) USING (doc_id)""",
-    "f_pages", "f_items", "f_jobs",
+    """SELECT doc_id, CASE WHEN bad THEN 'błąd: brak tekstu' ELSE 'ok' END AS status, CASE WHEN bad THEN 0 ELSE coalesce(n, 0) END
+        AS n_replaced FROM (SELECT doc_id, bool_or(text IS NULL) AS bad FROM c_pages GROUP BY doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM c_items
+        WHERE lower(trim(label)) IN (SELECT lower(trim(label)) FROM c_jobs WHERE new_value <> '' AND trim(label) <> '')
+        OR trim(value) IN (SELECT trim(value) FROM c_jobs WHERE new_value <> '') GROUP BY doc_id) USING (doc_id)""",
+    "c_pages", "c_items", "c_jobs",
 )
-cte("r_pages", rewritten("f", f"SELECT {_JOB}, new_value FROM f_matched"), "f_raw", "f_lines", "f_matched")
+cte("r_pages", rewritten("c", f"SELECT {_JOB}, new_value FROM c_matched"), "c_raw", "c_lines", "c_matched")
 oracle(
     "verify_replacement",
     """SELECT doc_id, coalesce(n_values, 0) AS n_values, coalesce(n_left, 0) AS n_left, coalesce(n_missing, 0) AS n_missing,
         coalesce(n_found, 0) AS n_found FROM (SELECT DISTINCT doc_id FROM r_pages)
     LEFT JOIN (SELECT doc_id, count(*) AS n_values, count(*) FILTER (there) AS n_left, count(*) FILTER (NOT arrived) AS n_missing
         FROM (SELECT doc_id, value, new_value, bool_or(contains(text, value)) AS there, bool_or(contains(text, new_value)) AS arrived
-            FROM (SELECT DISTINCT doc_id, value, new_value FROM f_matched) JOIN r_pages USING (doc_id) GROUP BY ALL)
+            FROM (SELECT DISTINCT doc_id, value, new_value FROM c_matched) JOIN r_pages USING (doc_id) GROUP BY ALL)
         GROUP BY doc_id) USING (doc_id)
     LEFT JOIN (SELECT doc_id, count(*) AS n_found FROM r_items
-        SEMI JOIN (SELECT DISTINCT doc_id, value FROM f_matched) USING (doc_id, value) GROUP BY doc_id) USING (doc_id)""",
-    "r_pages", "r_items", "f_matched",
+        SEMI JOIN (SELECT DISTINCT doc_id, value FROM c_matched) USING (doc_id, value) GROUP BY doc_id) USING (doc_id)""",
+    "r_pages", "r_items", "c_matched",
 )
 oracle(
     "stream_analyze",
