@@ -224,6 +224,13 @@ def test_lm_columns_are_packed_without_loss(values):
     assert lm_scoring.unpacked(lm_scoring.packed(np.array(values, "i8"))).tolist() == values
 
 
+def test_lm_blocks_are_not_shuffled(spark, docs):
+    """The texts stay where they were written, the counts go to them."""
+    plan = lm_scoring.cross_entropy_difference(docs, docs.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    texts = [x for x in plan.split("FlatMapCoGroupsInArrow")[1].splitlines() if "Exchange" in x or "numbers#" in x and "Scan" in x]
+    assert sum("numbers#" in x for x in texts) == 1 and "Exchange" not in texts[0] and "Bucketed: true" in texts[0]
+
+
 def test_lm_scores_of_texts_without_words(spark):
     rows = [(1, None), (1, ""), (None, " \n"), (2, None)]
     got = lm_scoring.cross_entropy_difference(
