@@ -65,6 +65,48 @@ def test_leaks_are_found_anywhere_in_the_document(spark):
     assert tuple(deid.verify_replacement(lost, jobs).orderBy("doc_id").first()) == (1, 1, 0, 1, 0)
 
 
+@pytest.mark.parametrize("direct", [10_000, 20, 0])
+def test_values_are_found_by_anchors_as_directly(spark, direct):
+    """A document that owns most pages and values, values shorter than an anchor, values inside others, null texts."""
+    rows = [(1, i, f"A{i} NIP 526{i:04d}|ż{i % 7} " * 3) for i in range(60)] + [(2, 0, "abc"), (2, 1, None), (3, 0, ""), (None, 0, "abc")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string").withColumn("row", F.monotonically_increasing_id())
+    wanted = [(1, f"526{i:04d}|") for i in range(0, 90, 2)] + [(1, v) for v in ("ż6", "ż7", "A", "zz", "NIP 5260003|ż", "NIP 526000x")]
+    wanted += [(2, "abc"), (2, "abcd"), (2, "c"), (3, "abc"), (4, "abc")]
+    values = spark.createDataFrame(wanted, "doc_id long, value string")
+    expected = {(d, v) for d, v in wanted if any(d == e and v in (t or "") for e, _, t in rows)}
+    got = [tuple(r) for r in deid.contained(pages.select("row", "doc_id", "text"), values, direct).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_failing_pages_do_not_hold_up_the_others(spark, tmp_path):
+    """No text, bytes that are no UTF-8 and a page that is too long, in one run with a good document."""
+    texts = "doc_id % 4 WHEN 0 THEN 'NIP 5260001246' WHEN 1 THEN CAST(unhex('61C328') AS STRING) WHEN 2 THEN repeat('NIP ', 9) END"
+    pages = spark.range(4).selectExpr("id AS doc_id", "0 AS page").selectExpr("*", f"CASE {texts} AS text")
+    checked = deid.checked_pages(pages, 20)
+    mapping = spark.createDataFrame([(0, "", "", "5260001246", "[NIP]")], MAPPING)
+    jobs = match.match_mapping(analyze(checked.drop("error")), mapping)
+    got = deid.batch_summary(checked, match.replacement_report(jobs)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [
+        (0, "ok", 1), (1, "błąd: niepoprawny UTF-8", 0), (2, "błąd: strona za długa", 0), (3, "błąd: brak tekstu", 0),
+    ]
+    rewritten, _, summary = deid.batch_apply(pages, mapping, str(tmp_path / "jobs"))
+    assert {r.doc_id: r.text for r in rewritten.collect()} == {0: "NIP [NIP]", 1: None, 2: "NIP " * 9, 3: None}
+    assert {r.doc_id: r.status[:4] for r in summary.collect()} == {0: "ok", 1: "błąd", 2: "ok", 3: "błąd"}
+
+
+def test_a_redelivered_document_is_analysed_once(spark, pages, tmp_path):
+    """The same file twice, before and after a restart; a page with another text is new."""
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    first, changed = pages("NIP 5260001246", "PESEL: 85010112345", None), pages("NIP 5260001246 w dniu 15.01.2024")
+    for delivery in ([first, first], [first, changed]):
+        for part in delivery:
+            part.coalesce(1).write.mode("append").parquet(source)
+        stream = stream_documents(spark, source, "doc_id long, page int, text string", page="page", arrival=True)
+        stream_analyze(stream, out, checkpoint, "7 days").awaitTermination()
+    expected = analyze(first.unionByName(changed)).select("item_id", "type", "value").collect()
+    assert sorted(spark.read.parquet(out).select("item_id", "type", "value").collect()) == sorted(expected)
+
+
 def test_a_written_mapping_replaces_what_it_was_made_from(spark, pages, tmp_path):
     """Of two new values for one label the first in reading order wins, after writing and reading back."""
     source = pages("PESEL: 44051401359\nNIP 5260001246", "PESEL: 85010112345", "bez danych")
