@@ -203,3 +203,31 @@ def test_masking_grows_with_the_line(pages):
 
 def test_blank_and_null_pages(pages):
     assert analyze(pages("", "  \n\t\n", None)).count() == 0
+
+
+def test_gates_let_every_match_through(spark):
+    """A line that a detector finds something in passes the test on its row, also with digits of other scripts."""
+    from velum.functions import findings as fn
+
+    lines = [
+        "98/100", "2024-01-15 a 15.01.24", "٣ maja 2024", "3 maja  2024 r.", "luty 2024", "61109010140000071219812874",
+        "61 1090 1014 0000 0712 1981 2874", "85010112345 5260001246", "00-001", "1 250,00zł 12.50€", "FV/2024/01", "AB-C",
+        "12,5 %", "7%", "+48 601-234-567", "601 234 567", "1 234", "1,23", "12.3", "١٢٣", "1 234 567,8", "brak", "a 1 b 2",
+    ]
+    rows = spark.createDataFrame([(t,) for t in lines], "text string")
+    for kind in fn.PATTERNS:
+        found = F.expr(f"size({fn.candidates('text', kind)}) > 0")
+        if kind == "number":
+            found = F.expr(f"size({fn.kept_candidates('text', ['number'], 'NULL', 'NULL')}) > 0")
+        got = rows.select("text", found.alias("found"), F.expr(fn.may_match("text", [kind])).alias("passed")).collect()
+        assert any(r.found for r in got), kind
+        assert [r.text for r in got if r.found and not r.passed] == [], kind
+
+
+def test_single_detectors_test_lines_before_labels(spark):
+    """Lines without a match are dropped where pages become lines, before labels and spans are made."""
+    from velum.plans.catalog import CATALOG
+
+    for name in ("detect_date_monthy", "detect_pesel", "date_value", "reserve_groszy", "label_for"):
+        plan = CATALOG[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" in plan and "'above'" not in plan and ", above," not in plan.partition("named_struct(line_no")[2][:200], name
